@@ -3,10 +3,11 @@ apply an operator with production parameters and derive the digest columns."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import langid, quality
+from spindle.llm import huffman, langid, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(langid.remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = huffman.write(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "words", 1)
+    return huffman.read_checksums(spark, path)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -28,9 +34,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "spaced", 2)
+    return out.drop("ids")
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_huffman_ids": op3_huffman_ids,
     "op5_quality_rules": op5_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 #: No query of this folder is plain SQL: each is held against brute force in tests/llm.
