@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import huffman, langid, packing, quality, suffix_dedup
+from spindle.llm import class_lm, huffman, langid, packing, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,19 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = langid.remainder(by=10)
+    return class_lm.score(docs, train=rest != 0, held_out=rest == 0)
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_huffman_ids": op3_huffman_ids,
     "op5_quality_rules": op5_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_class_lm": op10_class_lm,
 }
 
 #: No query of this folder is plain SQL: each is held against brute force in tests/llm.
