@@ -7,13 +7,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import class_lm, huffman, langid, packing, quality, suffix_dedup
+from spindle.llm import class_lm, huffman, langid, near_dedup, packing, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(langid.remainder() != 2))
@@ -51,6 +55,7 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_language_id": op2_language_id,
     "op3_huffman_ids": op3_huffman_ids,
     "op5_quality_rules": op5_quality_rules,
