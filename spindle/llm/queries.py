@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import class_lm, huffman, langid, near_dedup, packing, quality, suffix_dedup
+from spindle.llm import class_lm, decontaminate, huffman, langid, near_dedup, packing, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_checksums(spark, path)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_language_id": op2_language_id,
     "op3_huffman_ids": op3_huffman_ids,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
