@@ -1,12 +1,67 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``.
+
+Every stage gets what its predecessor kept, written as Parquet and read again.
+The first four return the columns of ``documents``:
+
+1. quality rules: documents that fail the base rules or the learned list go;
+2. near duplicates: of each class the document with the least doc_id stays;
+3. repeated windows: bytes of 50-byte strings that also start in a document
+   with a smaller doc_id go, ``n_chars`` is counted anew;
+4. decontamination: documents that match a benchmark item go;
+5. packing: the pieces of the rest in sequences of 1024 tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindle.llm import decontaminate, near_dedup, packing, quality, suffix_dedup
+from spindle.llm.queries import table
+from spindle.llm.store import Workspace
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    whole = docs.select("doc_id", "text", F.struct("*").alias("_document"))
+    return quality.base_stats(whole, ("_document",)).where(quality.verdict(rules)).select("_document.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_duplicates(docs)
+    return docs.join(classes.where("class_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(docs, as_text=True)
+    fresh = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[fresh.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), "spaced", 2).drop("ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_windows", repeated_windows),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Near duplicates, learned rules and packing are not SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    work = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = work.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

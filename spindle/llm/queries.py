@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import class_lm, decontaminate, huffman, langid, near_dedup, packing, quality, suffix_dedup
+from spindle.llm import chat, class_lm, decontaminate, huffman, langid, licenses, near_dedup, packing, quality, suffix_dedup
+
+from spindle.llm.store import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    written = Workspace(spark, "chat").write(chat.format_conversations(turns.union(own)), "formatted")
+    return chat.read_back(written).select(
+        "conv_id",
+        F.expr("bigint(size(turns))").alias("n_turns"),
+        F.expr("sha2(array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), ''), 256)").alias("turns_sha256"),
+        F.expr("bigint(length(array_join(losses, '')))").alias("loss_chars"),
+        F.expr("sha2(array_join(losses, ''), 256)").alias("loss_sha256"),
+        F.expr("bigint(length(formatted))").alias("formatted_chars"),
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "spaced", 2)
     return out.drop("ids")
@@ -64,6 +85,8 @@ QUERIES = {
     "op3_huffman_ids": op3_huffman_ids,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_format": op6_chat_format,
+    "op8_license_scan": op8_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_class_lm": op10_class_lm,

@@ -144,9 +144,10 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, kept (remaining bytes), n_bytes, n_removed, n_spans and, as the
-    struct ``row``, all input columns, per row of ``docs``."""
+def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFrame:
+    """doc_id, kept (remaining bytes; ``as_text``: as a string, a character
+    that lost a byte goes), n_bytes, n_removed, n_spans and, as the struct
+    ``row``, all input columns but text, per row of ``docs``."""
     spark = docs.sparkSession
     work = Workspace(spark, "repeats")
     n = 4 * shuffle_partitions(spark)
@@ -293,7 +294,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     found = work.write(opened.groupBy("bucket").applyInArrow(repeated, "folder int, base bigint, least binary, window binary"), "windows", "none")
     _release(spark)
 
-    out_schema = f"doc_id {doc_type}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, row {row_type}"
+    out_schema = f"doc_id {doc_type}, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint, row {row_type}"
 
     def second_pass(left, right):
         least, known = _open(right, "<u8")
@@ -320,9 +321,10 @@ def dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 n_bytes += np.diff(offs).tolist()
                 rest = data[~covered].tobytes()
                 ends_of = offs - lost
-                kept += [rest[a:b] for a, b in zip(ends_of[:-1], ends_of[1:], strict=True)]
+                parts = [rest[a:b] for a, b in zip(ends_of[:-1], ends_of[1:], strict=True)]
+                kept += [x.decode("utf-8", "ignore") for x in parts] if as_text else parts
         whole = left.column("_row")
-        return pa.table({"doc_id": left.column("_id"), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "row": whole})
+        return pa.table({"doc_id": left.column("_id"), "kept": pa.array(kept, pa.string() if as_text else pa.binary()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "row": whole})
 
     final_schema = out_schema.replace(f"doc_id {doc_type}", "doc_id bigint", 1)
     return state.groupBy("folder").cogroup(found.groupBy("folder")).applyInArrow(_left_only(second_pass, final_schema), final_schema).withColumn("doc_id", F.col("doc_id").cast(doc_type))
