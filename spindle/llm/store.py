@@ -8,7 +8,9 @@ is one of our own made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +59,20 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """n integers that Spark's hash partitioning deals to n partitions one each,
+    so that n buckets grouped by their labels load all tasks alike."""
+    rows = spark.range(n * 40, numPartitions=1).selectExpr("int(id) as i", f"pmod(hash(int(id)), {n}) as p").groupBy("p").agg({"i": "min"}).collect()
+    used = {r[1] for r in rows}
+    spare = (i for i in range(n * 40, n * 41) if i not in used)
+    return sorted(used) + [next(spare) for _ in range(n - len(used))]
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver clean the shuffle files of finished jobs now, not when it
+    happens to collect its garbage, so that passes do not pile up on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)

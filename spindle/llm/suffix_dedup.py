@@ -9,7 +9,7 @@ windows are filed alike wherever they stand.
 
 * Pass 1, first digit: the filed strings ("anchors") go to buckets by hash,
   with a hash of the stretch of all neighbouring windows filed under the same
-  place.  Groups within one document leave.  An equal stretch in a smaller
+  place (48 bits each, and the bucket).  Groups within one document leave.  An equal stretch in a smaller
   document settles a stretch whole.
 * Pass 2, the rest of the depth: what is left are the first documents of
   stretches whose anchor also stands in other stretches.  Their windows go to
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.store import Workspace, shuffle_partitions
+from spindle.llm.store import Workspace, even_labels, release, shuffle_partitions
 from spindle.llm.textnum import chunks, ranges, rolling_hashes, span_hashes, splitmix
 
 DEPTH = 50
@@ -72,11 +72,25 @@ def stretches(data: np.ndarray, offs: np.ndarray, depth: int = DEPTH) -> tuple[n
     return row[start].astype(np.int64), start, end, h[place], whole
 
 
-def _put(bucket: np.ndarray, n: int, ids: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """(bucket, least id, ids as 4- or 8-byte offsets, columns...) per bucket."""
+def _six(h: np.ndarray) -> np.ndarray:
+    """The low 48 bits, six bytes a row."""
+    return h.view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _column(raw: pa.Buffer, kind: str) -> np.ndarray:
+    if kind != "six":
+        return np.frombuffer(raw, kind)
+    out = np.zeros((raw.size // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def _put(labels: np.ndarray, bucket: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """(label, least id, ids as 4- or 8-byte offsets, columns...) per bucket."""
     if not len(bucket):
         return []
-    order = np.argsort(bucket.astype(np.uint16) if n < 1 << 16 else bucket, kind="stable")
+    bucket = bucket.astype(np.uint16 if len(labels) < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
     bucket, ids, columns = bucket[order], ids[order], [c[order] for c in columns]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     out = []
@@ -84,7 +98,7 @@ def _put(bucket: np.ndarray, n: int, ids: np.ndarray, *columns: np.ndarray) -> l
         part, base = ids[a:b], int(ids[a:b].min())
         rel = part - base
         rel = rel.astype("<u4") if int(rel.max()) < 1 << 32 else rel.astype("<i8")
-        out.append((int(bucket[a]), base, rel.tobytes(), *[c[a:b].tobytes() for c in columns]))
+        out.append((int(labels[bucket[a]]), base, rel.tobytes(), *[c[a:b].tobytes() for c in columns]))
     return out
 
 
@@ -104,10 +118,10 @@ def _open(table: pa.Table, *kinds: str) -> tuple[np.ndarray, ...]:
     cols = [table.column(i).combine_chunks() for i in range(1, table.num_columns)]
     for r in range(table.num_rows):
         raws = [c[r].as_buffer() for c in cols[1:]]
-        first = np.frombuffer(raws[1], kinds[0])
-        out.append((_get_ids(cols[0][r].as_py(), raws[0], len(first)), first, *[np.frombuffer(x, k) for x, k in zip(raws[2:], kinds[1:], strict=True)]))
+        values = [_column(x, k) for x, k in zip(raws[1:], kinds, strict=True)]
+        out.append((_get_ids(cols[0][r].as_py(), raws[0], len(values[0])), *values))
     if not out:
-        return (np.zeros(0, np.int64), *[np.zeros(0, k) for k in kinds])
+        return (np.zeros(0, np.int64), *[np.zeros(0, "<u8" if k == "six" else k) for k in kinds])
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -136,21 +150,14 @@ def _spans(covered: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(offs, start, side="right") - 1, start, end
 
 
-def _release(spark: SparkSession) -> None:
-    """Let the driver clean the shuffles of finished jobs now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFrame:
     """doc_id, kept (remaining bytes; ``as_text``: as a string, a character
     that lost a byte goes), n_bytes, n_removed, n_spans and, as the struct
     ``row``, all input columns but text, per row of ``docs``."""
     spark = docs.sparkSession
     work = Workspace(spark, "repeats")
-    n = 4 * shuffle_partitions(spark)
+    labels = np.array(even_labels(spark, shuffle_partitions(spark)))
+    n = len(labels)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
 
@@ -159,7 +166,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
 
         def out():
             ids, anchor, whole = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _rows(_put((anchor % np.uint64(n)).astype(np.int64), n, ids, anchor, whole), ["bucket", "base", "ids", "anchor", "whole"])
+            return _rows(_put(labels, (anchor >> np.uint64(48)) % np.uint64(n), ids, _six(anchor), _six(whole)), ["bucket", "base", "ids", "anchor", "whole"])
 
         for b in batches:
             b = b.filter(pa.compute.is_valid(b.column(0)))
@@ -176,7 +183,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
 
     def settle(table):
         """For each folder: (stretch, smallest document) that settles it, and whether the anchor has other stretches."""
-        ids, anchor, whole = _open(table, "<u8", "<u8")
+        ids, anchor, whole = _open(table, "six", "six")
         order = np.lexsort((ids, whole, anchor))
         ids, anchor, whole = ids[order], anchor[order], whole[order]
         new = np.concatenate([[True], anchor[1:] != anchor[:-1]]) if len(ids) else np.zeros(0, bool)
@@ -195,16 +202,16 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
         if len(folder):
             once = np.concatenate([[True], (folder[1:] != folder[:-1]) | (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])])
             folder, anchor, whole, least, others = folder[once], anchor[once], whole[once], least[once], others[once]
-        return pa.Table.from_batches([_rows(_put(folder, n, least, anchor, whole, others.astype(np.uint8)), ["folder", "base", "least", "anchor", "whole", "others"])])
+        return pa.Table.from_batches([_rows(_put(labels, folder, least, _six(anchor), _six(whole), others.astype(np.uint8)), ["folder", "base", "least", "anchor", "whole", "others"])])
 
     filed = source.mapInArrow(file_anchors, "bucket int, base bigint, ids binary, anchor binary, whole binary")
     answers = work.write(filed.groupBy("bucket").applyInArrow(settle, "folder int, base bigint, least binary, anchor binary, whole binary, others binary"), "settled", "none")
-    _release(spark)
+    release(spark)
 
     def to_folders(batches):
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(_folder(ids, n), pa.int32()), *b.columns], ["folder", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(labels[_folder(ids, n)], pa.int32()), *b.columns], ["folder", *b.schema.names])
 
     whole_rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
     row_type = whole_rows.schema["_row"].dataType.simpleString()
@@ -213,7 +220,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
 
     def first_pass(left, right):
         """The settled spans and the stretches that the second pass has to look at."""
-        least, anchor, whole, others = _open(right, "<u8", "<u8", "u1")
+        least, anchor, whole, others = _open(right, "six", "six", "u1")
         mixed = splitmix(anchor) ^ whole
         order = np.argsort(mixed)
         mixed, least, others = mixed[order], least[order], others[order]
@@ -225,6 +232,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
                 spans = np.zeros((0, 2), np.int64)
                 pending, to, pto = spans, np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
                 if len(row) and len(mixed):
+                    a, w = (_column(pa.py_buffer(_six(x).tobytes()), "six") for x in (a, w))
                     mine = splitmix(a) ^ w
                     at = np.minimum(np.searchsorted(mixed, mine), len(mixed) - 1)
                     known = (mixed[at] == mine) & (ids[i:j][row] != -(1 << 63))
@@ -240,7 +248,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
 
     state_schema = f"{text_schema}, _gone binary, _open binary"
     state = work.write(foldered.groupBy("folder").cogroup(answers.groupBy("folder")).applyInArrow(_left_only(first_pass, state_schema), state_schema), "state")
-    _release(spark)
+    release(spark)
     work.drop(answers)
 
     def open_windows(column: pa.Array, lists: pa.Array):
@@ -262,7 +270,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
 
         def out():
             ids, h = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _rows(_put((h % np.uint64(n)).astype(np.int64), n, ids, h), ["bucket", "base", "ids", "window"])
+            return _rows(_put(labels, h % np.uint64(n), ids, h), ["bucket", "base", "ids", "window"])
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -288,11 +296,11 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
         if len(h):
             once = np.concatenate([[True], (h[1:] != h[:-1]) | (folder[1:] != folder[:-1])])
             h, least, folder = h[once], least[once], folder[once]
-        return pa.Table.from_batches([_rows(_put(folder, n, least, h), ["folder", "base", "least", "window"])])
+        return pa.Table.from_batches([_rows(_put(labels, folder, least, h), ["folder", "base", "least", "window"])])
 
     opened = state.where("_id is not null and length(_open) > 0").select("_id", "_text", "_open").mapInArrow(file_windows, "bucket int, base bigint, ids binary, window binary")
     found = work.write(opened.groupBy("bucket").applyInArrow(repeated, "folder int, base bigint, least binary, window binary"), "windows", "none")
-    _release(spark)
+    release(spark)
 
     out_schema = f"doc_id {doc_type}, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint, row {row_type}"
 
