@@ -12,12 +12,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 
-MEMO_WORDS = 700_000
+MEMO_WORDS = 1_000_000
 _LONG = 48
-_MARK = "\x02"
+#: Bytes as byte-level vocabularies write them: visible ones as themselves, the rest from U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
 #: White space of Python's str.split() that the tokenizers do not take as such.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _encoders: dict[tuple[str, str], "Encoder"] = {}
@@ -34,7 +37,7 @@ def encoder(path: str, kind: str) -> "Encoder":
 class Encoder:
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         if kind not in ("words", "spaced"):
             raise ValueError(f"unknown kind of tokenizer: {kind}")
@@ -43,11 +46,15 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        byte = chr(0x100 + ord(_MARK))  # as byte-level vocabularies write it
-        alone = sum(byte in x for x in vocab) == (2 if kind == "words" else 1)
-        self.mark = mark[0] if len(mark) == 1 and alone else None
+        # the merges of the same file without its normaliser and pattern
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        edge = (lambda t: t.endswith("</w>")) if kind == "words" else (lambda t: t.startswith("\u0120"))
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if edge(t)]] = True
+        self.alone = dict(zip(".,\n", self._encode([".", ",", "\n"]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Each text by itself."""
@@ -55,26 +62,66 @@ class Encoder:
         return [array(self.dtype.char, x.ids).tobytes() for x in out]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Many words, a few hundred in one text, parted by a mark that no
-        merge of the vocabulary takes up, so that its id parts their ids."""
-        if self.mark is None or any(_MARK in w or "<|" in w or w[:1] == "'" for w in words):
-            return self._encode(words)
-        joint = f" {_MARK} " if self.kind == "words" else _MARK
-        out, wide = [], self.dtype.itemsize
-        for i in range(0, len(words), 4096):
-            runs = [words[j : j + 256] for j in range(i, min(i + 4096, len(words)), 256)]
-            for run, x in zip(runs, self.tokenizer.encode_batch_fast([joint.join(r) for r in runs], add_special_tokens=False), strict=True):
-                ids = array(self.dtype.char, x.ids)
-                raw, cuts = ids.tobytes(), (np.flatnonzero(np.frombuffer(ids, self.dtype) == self.mark) * wide).tolist()
-                if len(cuts) != len(run) - 1:
-                    raise ValueError("the mark does not part the words")
-                out += [raw[a:b] for a, b in zip([0, *[c + wide for c in cuts]], [*cuts, len(raw)], strict=True)]
+        """Many words.  A run of Latin letters is one piece for the merges, so
+        such words skip the normaliser and the pattern; a full stop or comma
+        after it, and the line feed before it, are pieces of their own."""
+        known = dict.fromkeys(words)
+        plain = [w for w in words if self._plain(w)]
+        known.update(zip(plain, self._merge(plain), strict=True))
+        built, cores, hard = [], {}, []
+        for w in [w for w, x in known.items() if x is None]:
+            core, before, after = w, b"", b""
+            if w[0] == "\n":
+                core, before = w[1:], self.alone["\n"]
+            if core[-1:] in (".", ","):
+                core, after = core[:-1], self.alone[core[-1]]
+            if self.kind == "words" and core.isascii():
+                core = core.lower()
+            if self._plain(core):
+                cores[core] = known.get(core) or self.memo.get(core)
+                built.append((w, before, core, after))
+            else:
+                hard.append(w)
+        new = [c for c, x in cores.items() if x is None]
+        cores.update(zip(new, self._merge(new), strict=True))
+        known.update((w, before + cores[core] + after) for w, before, core, after in built)
+        known.update(zip(hard, self._encode(hard), strict=True))
+        return [known[w] for w in words]
+
+    def _plain(self, word: str) -> bool:
+        """Letters alone that the normaliser leaves as they are, of one piece with the space before them."""
+        letters = word[1:] if self.kind == "spaced" and word[:1] == " " else word
+        if not letters.isalpha() or len(letters) > _LONG:
+            return False
+        return (letters.isascii() or max(letters) < "\u0100") and (self.kind == "spaced" or letters.islower())
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Runs of letters, some after a space, by the merges alone."""
+        coded = [w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in words]
+        out: list[bytes | None] = [None] * len(words)
+        # words that can share a text: their ends (or their spaces) show in the ids
+        joint = [k for k, w in enumerate(words) if self.kind == "words" or w[0] == " "]
+        wide = self.dtype.itemsize
+        runs = [joint[i : i + 256] for i in range(0, len(joint), 256)]
+        for i in range(0, len(runs), 16):
+            texts = [" ".join(coded[k] for k in r) for r in runs[i : i + 16]]
+            for r, x in zip(runs[i : i + 16], self.merges.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                raw = array(self.dtype.char, x.ids).tobytes()
+                edge = np.flatnonzero(self.edge[np.frombuffer(raw, self.dtype)])
+                cuts = ([0, *((edge + 1) * wide).tolist()] if self.kind == "words" else [*(edge * wide).tolist(), len(raw)])
+                if len(cuts) != len(r) + 1:
+                    raise ValueError("the ids of joined words do not fall apart")
+                for k, a, b in zip(r, cuts[:-1], cuts[1:], strict=True):
+                    out[k] = raw[a:b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.merges.encode_batch_fast([coded[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = array(self.dtype.char, x.ids).tobytes()
         return out
 
     def _words(self, text: str) -> list[str] | None:
         """Parts that can be encoded alone, or None if the text has to stay whole."""
         if self.kind == "words":
-            if text.isascii() and "<|" not in text:
+            if "<|" not in text and _latin(text):
                 text = text.lower()  # as the tokenizer does; fewer words to keep
             return text.split() if not _CONTROL.search(text) else None
         if not text:
@@ -87,23 +134,33 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``self.dtype``."""
         parts = [self._words(t) for t in texts]
-        get = self.memo.get
-        found = [list(map(get, p)) if p is not None else [] for p in parts]
-        gaps = [i for i, x in enumerate(found) if None in x]
-        new = list({w for i in gaps for w, x in zip(parts[i], found[i], strict=True) if x is None})
+        # the batch's own words first: a small table that stays in the processor's cache
+        own = dict.fromkeys(chain.from_iterable(p for p in parts if p is not None))
+        own = dict(zip(own, map(self.memo.get, own), strict=True))
+        new = [w for w, x in own.items() if x is None]
         fresh = dict(zip(new, self._encode_words(new), strict=True))
-        for i in gaps:
-            found[i] = [x if x is not None else fresh[w] for w, x in zip(parts[i], found[i], strict=True)]
+        own.update(fresh)
         if len(self.memo) + len(fresh) > MEMO_WORDS:
             self.memo.clear()
         self.memo.update((w, x) for w, x in fresh.items() if len(w) <= _LONG)
-        out = [b"".join(x) for x in found]
+        get = own.__getitem__
+        out = [b"".join(map(get, p)) if p is not None else b"" for p in parts]
         if whole := [i for i, p in enumerate(parts) if p is None]:
             for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
                 out[i] = ids
         return out
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def text_batches(texts: list[str | None], most: int = 1 << 20):
     """Yield (first index, texts) with about ``most`` characters each; null is empty."""
     i, size, held = 0, 0, []
