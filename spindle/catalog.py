@@ -1,4 +1,4 @@
-"""The registered queries and their SQL."""
+"""The registered queries and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.functions import answers
+from spindle.operators import groups, index, metrics, rows
+from spindle.plans.shell import run_pipeline
+from spindle.sources.tables import corpus_lines
+from spindle.streaming import queue
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -25,10 +31,270 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- text pipelines over the lines of documents ---------------------------------
+
+_LINES = """lines AS (
+  SELECT doc_id * 100000 + i - 1 AS line_no, parts[i] AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) p,
+       LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i))"""
+
+
+def _pipeline(name: str, text: str, sql: str) -> None:
+    @register(name, f"WITH {_LINES} {sql}")
+    def run(spark: SparkSession, d: str, text: str = text) -> DataFrame:
+        return run_pipeline(text, corpus_lines(_t(spark, d, "documents")))
+
+
+_pipeline("search_literal", "rg -F 'tion the' corpus.jsonl", "SELECT line FROM lines WHERE contains(line, 'tion the')")
+_pipeline(
+    "search_and_count", "rg -F the corpus.jsonl | rg -F and | wc -l", "SELECT CAST(count(*) AS VARCHAR) AS line FROM lines WHERE contains(line, 'the') AND contains(line, 'and')"
+)
+_pipeline("search_ignore_case", "rg -i -F 'LICENSED under' corpus.jsonl", "SELECT line FROM lines WHERE contains(lower(line), 'licensed under')")
+_pipeline("search_regex_count", "rg -c 'er(th)[a-z]+ion' corpus.jsonl", "SELECT CAST(count(*) AS VARCHAR) AS line FROM lines WHERE regexp_matches(line, 'er(th)[a-z]+ion')")
+_pipeline("search_invert_count", "rg -v -F e corpus.jsonl | wc -l", "SELECT CAST(count(*) AS VARCHAR) AS line FROM lines WHERE NOT contains(line, 'e')")
+_pipeline("search_word_count", "rg -w -F tion corpus.jsonl | wc -l", r"SELECT CAST(count(*) AS VARCHAR) AS line FROM lines WHERE regexp_matches(line, '(^|[^\p{L}\p{N}_])tion($|[^\p{L}\p{N}_])')")
+_pipeline("search_whole_line", "rg -x -F 'And ornd.' corpus.jsonl", "SELECT line FROM lines WHERE line = 'And ornd.'")
+_pipeline("search_two_patterns", "rg -F -e License -e Licensed corpus.jsonl | wc -l", "SELECT CAST(count(*) AS VARCHAR) AS line FROM lines WHERE contains(line, 'License') OR contains(line, 'Licensed')")
+_pipeline("search_only_matching", "rg -o 'version [0-9]' corpus.jsonl", "SELECT unnest(regexp_extract_all(line, 'version [0-9]')) AS line FROM lines")
+_pipeline("search_most", "rg -m 7 -F thing corpus.jsonl", "SELECT line FROM lines WHERE contains(line, 'thing') ORDER BY line_no LIMIT 7")
+_pipeline(
+    "search_numbered",
+    "rg -n -F License corpus.jsonl",
+    "SELECT nr || ':' || line AS line FROM (SELECT *, row_number() OVER (ORDER BY line_no) AS nr FROM lines) WHERE contains(line, 'License')",
+)
+_pipeline("search_head", "rg -F the corpus.jsonl | head -n 5", "SELECT line FROM lines WHERE contains(line, 'the') ORDER BY line_no LIMIT 5")
+_pipeline("search_tail", "rg -F the corpus.jsonl | tail -n 4", "SELECT line FROM lines WHERE contains(line, 'the') ORDER BY line_no DESC LIMIT 4")
+_pipeline("tail_from", "rg -F License corpus.jsonl | tail -n +6", "SELECT line FROM (SELECT *, row_number() OVER (ORDER BY line_no) AS nr FROM lines WHERE contains(line, 'License')) WHERE nr >= 6")
+_pipeline("sort_head", "rg -F the corpus.jsonl | sort | head -n 20", "SELECT line FROM lines WHERE contains(line, 'the') ORDER BY line LIMIT 20")
+_pipeline("sort_reverse_head", "rg -F the corpus.jsonl | sort -r | head -n 20", "SELECT line FROM lines WHERE contains(line, 'the') ORDER BY line DESC LIMIT 20")
+_pipeline("sort_uniq_head", "rg -F the corpus.jsonl | sort | uniq | head -n 20", "SELECT DISTINCT line FROM lines WHERE contains(line, 'the') ORDER BY line LIMIT 20")
+_pipeline("sort_uniq_count", "rg -F License corpus.jsonl | sort | uniq -c", "SELECT lpad(CAST(count(*) AS VARCHAR), 7, ' ') || ' ' || line AS line FROM lines WHERE contains(line, 'License') GROUP BY lines.line")
+_pipeline("sort_uniq_repeated", "cat corpus.jsonl | sort | uniq -d", "SELECT line FROM lines GROUP BY line HAVING count(*) > 1")
+_pipeline("uniq_neighbours", "cat corpus.jsonl | cut -c 1-2 | uniq", "SELECT line FROM (SELECT substring(line, 1, 2) AS line, lag(substring(line, 1, 2)) OVER (ORDER BY line_no) AS prev FROM lines) WHERE line IS DISTINCT FROM prev")
+_pipeline(
+    "cut_field",
+    "rg -F License corpus.jsonl | cut -d ' ' -f 2",
+    "SELECT CASE WHEN contains(line, ' ') THEN string_split(line, ' ')[2] ELSE line END AS line FROM lines WHERE contains(line, 'License')",
+)
+_pipeline("translate", "rg -F License corpus.jsonl | tr a-z A-Z", "SELECT translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS line FROM lines WHERE contains(line, 'License')")
+_pipeline("sed_replace", "rg -F License corpus.jsonl | sed -E 's/[0-9]+/N/g'", "SELECT regexp_replace(line, '[0-9]+', 'N', 'g') AS line FROM lines WHERE contains(line, 'License')")
+_pipeline("sed_range", "cat corpus.jsonl | sed -n '10,20p'", "SELECT line FROM (SELECT *, row_number() OVER (ORDER BY line_no) AS nr FROM lines) WHERE nr BETWEEN 10 AND 20")
+_pipeline(
+    "word_count",
+    "cat corpus.jsonl | wc -l -w -c",
+    r"SELECT count(*) || ' ' || CAST(sum(len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> ''))) AS BIGINT) || ' ' || CAST(sum(strlen(line) + 1) AS BIGINT) AS line FROM lines",
+)
+
+_TERMS = r"posted AS (SELECT line_no, unnest(list_distinct(list_filter(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), lambda x: len(x) >= 2))) AS term FROM lines)"
+
+
+@register("index_terms", f"WITH {_LINES}, {_TERMS} SELECT term, count(*) AS df FROM posted GROUP BY term")
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    return index.terms(index.postings(corpus_lines(_t(spark, d, "documents"))))
+
+
+@register("index_search", f"WITH {_LINES} SELECT line_no, line FROM lines WHERE contains(line, 'icense, vers')")
+def FLAGSHIP(spark: SparkSession, d: str) -> DataFrame:
+    lines = corpus_lines(_t(spark, d, "documents"))
+    return index.search(lines, index.postings(lines), "icense, vers")
+
+
+# --- answers -------------------------------------------------------------------
+
+_NORM = (
+    "list_filter(regexp_split_to_array(translate(lower({x}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\s+'),"
+    " lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))"
+)
+
+
+def _tokens(x: str) -> str:
+    return _NORM.format(x=x)
+
+
+@register(
+    "answer_exact_match",
+    f"SELECT p_partkey, array_to_string({_tokens('gold')}, ' ') AS gold, array_to_string({_tokens('p_name')}, ' ') = array_to_string({_tokens('gold')}, ' ') AS em "
+    "FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'The  ' || upper(p_name) || '!' END AS gold FROM part)",
+)
+def answer_exact_match(spark: SparkSession, d: str) -> DataFrame:
+    gold = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.concat(F.lit("The  "), F.upper("p_name"), F.lit("!")))
+    part = _t(spark, d, "part").withColumn("gold", gold)
+    return part.select("p_partkey", answers.normalize_answer("gold").alias("gold"), answers.exact_match("p_name", F.array("gold")).alias("em"))
+
+
+@register(
+    "answer_f1",
+    f"""SELECT p_partkey, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS INT)
+        ELSE 2.0 * list_sum([least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))) for x in list_distinct(p)]) / (len(p) + len(g)) END, 9) AS f1
+    FROM (SELECT p_partkey, {_tokens('p_name')} AS p, {_tokens("p_name || ' ' || p_brand || ' ' || p_name")} AS g FROM part)""",
+)
+def answer_f1(spark: SparkSession, d: str) -> DataFrame:
+    gold = F.concat_ws(" ", "p_name", "p_brand", "p_name")
+    return _t(spark, d, "part").select("p_partkey", F.round(answers.token_f1("p_name", F.array(gold)), 9).alias("f1"))
+
+
+@register("hash_split", "SELECT doc_id, ('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0 < 0.1 AS held FROM documents")
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", (answers.hash_share("doc_id") < 0.1).alias("held"))
+
+
 @register(
-    "search_count",
-    "SELECT count(*) AS n_lines FROM documents WHERE contains(text, 'the')",
+    "length_penalties",
+    "SELECT doc_id, round(0.5 * t, 9) AS linear, round(0.5 * t * t, 9) AS quadratic, round(0.5 * (exp(t) - 1) / (exp(1.0) - 1), 9) AS exponential, round(0.5 * (1 - cos(pi() * t)) / 2, 9) AS cosine "
+    "FROM (SELECT doc_id, least(CAST(n_chars AS DOUBLE), 4000) / 4000 AS t FROM documents)",
+)
+def length_penalties(spark: SparkSession, d: str) -> DataFrame:
+    shapes = ("linear", "quadratic", "exponential", "cosine")
+    return _t(spark, d, "documents").select("doc_id", *[F.round(answers.length_penalty("n_chars", 4000, 0.5, s), 9).alias(s) for s in shapes])
+
+
+# --- group-relative estimators: orders as responses, customers as prompts -------
+
+_ROLL = "r AS (SELECT o_custkey AS uid, o_orderkey AS response_id, o_totalprice * 0.000731372918461 AS score, o_orderkey % 50 + 1 AS length FROM orders)"
+_W = "OVER (PARTITION BY uid)"
+
+
+def _rollouts(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").select(
+        F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("response_id"), (F.col("o_totalprice") * 0.000731372918461).alias("score"), (F.col("o_orderkey") % 50 + 1).alias("length")
+    )
+
+
+def _estimator(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    @register(name, f"WITH {_ROLL} SELECT response_id, round(advantage, 6) AS advantage FROM (SELECT response_id, {sql} AS advantage FROM r)")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return f(_rollouts(spark, d)).select("response_id", F.round("advantage", 6).alias("advantage"))
+
+
+_estimator("advantage_grpo", groups.grpo, f"CASE WHEN count(*) {_W} = 1 THEN score / (1 + 1e-6) ELSE (score - avg(score) {_W}) / (stddev_samp(score) {_W} + 1e-6) END")
+_estimator("advantage_grpo_mean_only", lambda r: groups.grpo(r, False), f"CASE WHEN count(*) {_W} = 1 THEN score ELSE score - avg(score) {_W} END")
+_estimator("advantage_grpo_floored", groups.grpo_floored, f"CASE WHEN count(*) {_W} = 1 THEN score / (1 + 1e-6) ELSE (score - avg(score) {_W}) / (sqrt(greatest(var_samp(score) {_W}, 1e-6)) + 1e-6) END")
+_estimator("advantage_rloo", groups.rloo, f"CASE WHEN count(*) {_W} = 1 THEN score ELSE (count(*) {_W} * score - sum(score) {_W}) / (count(*) {_W} - 1) END")
+_estimator("advantage_rloo_zero", lambda r: groups.rloo(r, False), f"CASE WHEN count(*) {_W} = 1 THEN 0.0 ELSE (count(*) {_W} * score - sum(score) {_W}) / (count(*) {_W} - 1) END")
+_estimator("advantage_opo", groups.opo, f"score - CASE WHEN count(*) {_W} = 1 THEN 0 ELSE sum(length * score) {_W} / sum(length) {_W} END")
+_estimator("advantage_gpg", groups.gpg, f"(score - CASE WHEN count(*) {_W} = 1 THEN 0 ELSE avg(score) {_W} END) * (SELECT count(*) / greatest(count(*) FILTER (score <> 0), 1) FROM r)")
+_estimator(
+    "advantage_pass_at_k",
+    groups.pass_at_k,
+    "CASE WHEN row_number() OVER (PARTITION BY uid ORDER BY score DESC, response_id) = 1 THEN coalesce(score - lead(score) OVER (PARTITION BY uid ORDER BY score DESC, response_id), 0.0) ELSE 0.0 END",
 )
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.where(F.col("text").contains("the")).agg(F.count("*").alias("n_lines"))
+
+
+@register(
+    "majority_vote",
+    """WITH v AS (SELECT o_custkey AS uid, o_orderpriority AS vote, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY ALL)
+    SELECT v.uid, v.vote, v.n AS votes, o_totalprice AS score FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, first) AS k FROM v) v JOIN orders ON o_orderkey = first WHERE k = 1""",
+)
+def majority_vote(spark: SparkSession, d: str) -> DataFrame:
+    rows_ = _t(spark, d, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("response_id"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("vote"))
+    return groups.majority(rows_, "vote")
+
+
+@register(
+    "best_of_k",
+    f"""WITH {_ROLL}, s AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS i, count(*) {_W} AS n FROM r)
+    SELECT uid, round(sum(score * (pow(i / n, 4) - pow((i - 1) / n, 4))), 5) AS best, round(sum(score * (pow((n - i + 1) / n, 4) - pow((n - i) / n, 4))), 5) AS worst FROM s GROUP BY uid""",
+)
+def best_of_k(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.best_of_k(_rollouts(spark, d), 4).select("uid", F.round("best", 5).alias("best"), F.round("worst", 5).alias("worst"))
+
+
+# --- metrics -------------------------------------------------------------------
+
+
+@register(
+    "nearest_rank_percentiles",
+    "SELECT o_orderstatus AS status, list_sort(list(o_totalprice))[CAST(least(count(*) - 1, floor(count(*) * 0.9)) AS INT) + 1] AS p90, list_sort(list(o_totalprice))[CAST(least(count(*) - 1, floor(count(*) * 0.99)) AS INT) + 1] AS p99 FROM orders GROUP BY 1",
+)
+def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(metrics.nearest_rank("o_totalprice", 0.9).alias("p90"), metrics.nearest_rank("o_totalprice", 0.99).alias("p99"))
+
+
+_SCORED = "s AS (SELECT l_returnflag AS dataset, CAST(l_quantity > 25 AS INT) AS em, l_discount AS f1 FROM lineitem)"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), (F.col("l_quantity") > 25).cast("int").alias("em"), F.col("l_discount").alias("f1"))
+
+
+@register("scores_by_dataset", f"WITH {_SCORED} SELECT dataset, round(avg(em), 9) AS em, round(avg(f1), 9) AS f1, count(*) AS n FROM s GROUP BY ROLLUP (dataset)")
+def scores_by_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.scores_by_dataset(_scored(spark, d)).select("dataset", F.round("em", 9).alias("em"), F.round("f1", 9).alias("f1"), "n")
+
+
+@register("macro_average", f"WITH {_SCORED} SELECT round(avg(em), 9) AS em, round(avg(f1), 9) AS f1, count(*) AS datasets FROM (SELECT avg(em) AS em, avg(f1) AS f1 FROM s GROUP BY dataset)")
+def macro_average(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.macro_average(_scored(spark, d)).select(F.round("em", 9).alias("em"), F.round("f1", 9).alias("f1"), "datasets")
+
+
+@register(
+    "metrics_by_name",
+    """WITH m AS (SELECT event_type || CASE WHEN event_id % 3 = 0 THEN '/max' WHEN event_id % 3 = 1 THEN '/min' ELSE '/mean' END AS name, value FROM events)
+    SELECT name, round(CASE WHEN contains(name, 'max') THEN max(value) WHEN contains(name, 'min') THEN min(value) ELSE avg(value) END, 6) AS value FROM m GROUP BY name""",
+)
+def metrics_by_name(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 3 == 0, "/max").when(F.col("event_id") % 3 == 1, "/min").otherwise("/mean")
+    m = _t(spark, d, "events").select(F.concat("event_type", kind).alias("name"), "value")
+    return metrics.reduce_by_name(m).select("name", F.round("value", 6).alias("value"))
+
+
+@register(
+    "slowest_rows",
+    "SELECT event_type, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, max(event_id) FILTER (value = top) AS slowest_event_id FROM (SELECT *, max(value) OVER (PARTITION BY event_type) AS top FROM events) GROUP BY event_type",
+)
+def slowest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.slowest(_t(spark, d, "events"), "event_type", ["event_id"], "value").withColumn("mean", F.round("mean", 6))
+
+
+# --- rows ----------------------------------------------------------------------
+
+
+def _numbered_nation(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("row_id"), "n_name")
+
+
+@register("rows_repeat", "SELECT n_nationkey * 3 + c AS row_id, n_name FROM nation, range(3) t(c)")
+def rows_repeat(spark: SparkSession, d: str) -> DataFrame:
+    return rows.repeat(_numbered_nation(spark, d), 3)
+
+
+@register("rows_repeat_whole", "SELECT c * (SELECT count(*) FROM nation) + n_nationkey AS row_id, n_name FROM nation, range(3) t(c)")
+def rows_repeat_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rows.repeat(_numbered_nation(spark, d), 3, interleave=False)
+
+
+@register("rows_repeat_by_count", "SELECT n_nationkey, c AS copy FROM nation, LATERAL (SELECT unnest(range(1, n_nationkey % 4 + 1)) AS c)")
+def rows_repeat_by_count(spark: SparkSession, d: str) -> DataFrame:
+    out = rows.repeat_by(_t(spark, d, "nation").withColumn("k", F.col("n_nationkey") % 4), "k")
+    return out.select("n_nationkey", F.col("copy").cast("bigint").alias("copy"))
+
+
+@register("rows_slice", "SELECT n_nationkey AS row_id, n_name FROM nation WHERE n_nationkey >= 3 AND n_nationkey < 20 AND (n_nationkey - 3) % 4 = 0")
+def rows_slice(spark: SparkSession, d: str) -> DataFrame:
+    return rows.slice_rows(_numbered_nation(spark, d), 3, 20, 4).withColumn("row_id", F.col("row_id").cast("int"))
+
+
+@register("rows_first_by_key", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
+def rows_first_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return rows.first_by(_t(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@register("rows_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def rows_resume(spark: SparkSession, d: str) -> DataFrame:
+    done = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return rows.resume(_t(spark, d, "orders"), done, "o_orderkey").select("o_orderkey")
+
+
+@register("rows_union_columns", "SELECT n_nationkey AS row_id, n_name, n_regionkey FROM nation")
+def rows_union_columns(spark: SparkSession, d: str) -> DataFrame:
+    other = _t(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("row_id"), "n_name", "n_regionkey")
+    return rows.union_columns(_numbered_nation(spark, d), other).withColumn("row_id", F.col("row_id").cast("int"))
+
+
+@register("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return queue.tumbling_counts(_t(spark, d, "events")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
