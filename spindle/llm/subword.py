@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 _LONG = 48
 #: Bytes as byte-level vocabularies write them: visible ones as themselves, the rest from U+0100 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,6 +46,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # the merges of the same file without its normaliser and pattern
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = normalizers.Sequence([])
@@ -137,11 +138,15 @@ class Encoder:
         # the batch's own words first: a small table that stays in the processor's cache
         own = dict.fromkeys(chain.from_iterable(p for p in parts if p is not None))
         own = dict(zip(own, map(self.memo.get, own), strict=True))
-        new = [w for w, x in own.items() if x is None]
+        unknown = [w for w, x in own.items() if x is None]
+        kept = {w: x for w, x in zip(unknown, map(self.before.get, unknown), strict=True) if x is not None}
+        own.update(kept)
+        new = [w for w in unknown if w not in kept] if kept else unknown
         fresh = dict(zip(new, self._encode_words(new), strict=True))
         own.update(fresh)
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo.clear()
+        if len(self.memo) + len(fresh) > MEMO_WORDS // 2:
+            self.before, self.memo = self.memo, {}  # words that recur are taken over, the rest is forgotten
+        self.memo.update(kept)
         self.memo.update((w, x) for w, x in fresh.items() if len(w) <= _LONG)
         get = own.__getitem__
         out = [b"".join(map(get, p)) if p is not None else b"" for p in parts]
