@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindle.functions import answers
-from spindle.operators import groups, index, metrics, rows
+from spindle.functions import answers, scorers
+from spindle.operators import balance, groups, index, losses, metrics, rows, tokens
 from spindle.plans.shell import run_pipeline
 from spindle.sources.tables import corpus_lines
 from spindle.streaming import queue
@@ -44,7 +44,7 @@ _LINES = """lines AS (
 
 
 def _pipeline(name: str, text: str, sql: str) -> None:
-    @register(name, f"WITH {_LINES} {sql}")
+    @register(name, f"WITH {_LINES}{sql if sql.startswith(',') else ' ' + sql}")
     def run(spark: SparkSession, d: str, text: str = text) -> DataFrame:
         return run_pipeline(text, corpus_lines(_t(spark, d, "documents")))
 
@@ -89,6 +89,17 @@ _pipeline(
     r"SELECT count(*) || ' ' || CAST(sum(len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> ''))) AS BIGINT) || ' ' || CAST(sum(strlen(line) + 1) AS BIGINT) AS line FROM lines",
 )
 
+_pipeline(
+    "search_context",
+    "rg -F -n -B 1 -A 2 'Licensed under' corpus.jsonl",
+    """, n AS (SELECT line, contains(line, 'Licensed under') AS hit, row_number() OVER (ORDER BY line_no) AS nr FROM lines),
+    s AS (SELECT *, max(hit) OVER (ORDER BY nr ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM n),
+    o AS (SELECT *, lag(nr) OVER (ORDER BY nr) AS prev FROM s WHERE near)
+    SELECT nr || CASE WHEN hit THEN ':' ELSE '-' END || line AS line FROM o UNION ALL SELECT '--' FROM o WHERE prev < nr - 1""",
+)
+_pipeline("awk_field", "awk '/License/ {print $2}' corpus.jsonl", r"SELECT coalesce(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')[2], '') AS line FROM lines WHERE contains(line, 'License')")
+_pipeline("awk_total", "awk '{s += NF} END {print s}' corpus.jsonl", r"SELECT CAST(sum(len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> ''))) AS VARCHAR) AS line FROM lines")
+
 _TERMS = r"posted AS (SELECT line_no, unnest(list_distinct(list_filter(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), lambda x: len(x) >= 2))) AS term FROM lines)"
 
 
@@ -298,3 +309,338 @@ def rows_union_columns(spark: SparkSession, d: str) -> DataFrame:
 @register("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return queue.tumbling_counts(_t(spark, d, "events")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+# --- tokens: line items as tokens, orders as responses ---------------------------
+
+_TOK = """tok0 AS (SELECT l_orderkey // 8 AS uid, l_orderkey AS response_id,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos,
+      CASE WHEN l_quantity > 4 THEN 1 ELSE 0 END AS mask, l_discount AS reward, l_tax AS reward_b, 0.05::DOUBLE AS base,
+      -(0.1::DOUBLE + 12 * l_discount) AS new, -(0.1::DOUBLE + 15 * l_tax) AS old, (l_quantity - 25.25) / 10 AS advantage FROM lineitem),
+    tok AS (SELECT *, exp(2 * old) AS sum_pi_squared, new + 0.3 AS vpred, old AS value, advantage AS ret FROM tok0)"""
+_SEQ, _UP, _DOWN = "PARTITION BY response_id", "PARTITION BY response_id ORDER BY pos", "PARTITION BY response_id ORDER BY pos DESC"
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    new, old = -(0.1 + 12 * F.col("l_discount")), -(0.1 + 15 * F.col("l_tax"))
+    adv = (F.col("l_quantity") - 25.25) / 10
+    return _t(spark, d, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 8).alias("uid"), F.col("l_orderkey").alias("response_id"), (F.row_number().over(at) - 1).cast("bigint").alias("pos"),
+        (F.col("l_quantity") > 4).cast("int").alias("mask"), F.col("l_discount").alias("reward"), F.col("l_tax").alias("reward_b"), F.lit(0.05).alias("base"),
+        new.alias("new"), old.alias("old"), adv.alias("advantage"), F.exp(2 * old).alias("sum_pi_squared"), (new + 0.3).alias("vpred"), old.alias("value"), adv.alias("ret"),
+    )
+
+
+def _token_query(name: str, f: Callable[[DataFrame], DataFrame], column: str, sql: str, digits: int = 6) -> None:
+    """``sql`` is CTEs after ``tok``; the last of them, x, has response_id, pos and v."""
+
+    @register(name, f"WITH {_TOK}, {sql} SELECT response_id, pos, round(v, {digits}) + 0.0 AS {column} FROM x")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return f(_tokens(spark, d)).select("response_id", F.col("pos").cast("bigint").alias("pos"), (F.round(column, digits) + 0.0).alias(column))
+
+
+def _white(v: str, of: str) -> str:
+    return f"w AS (SELECT avg({v}) FILTER (mask = 1) AS m, var_samp({v}) FILTER (mask = 1) AS s2 FROM {of}), x AS (SELECT response_id, pos, ({v} - m) / sqrt(s2 + 1e-8) * mask AS v FROM {of}, w)"
+
+
+_token_query("token_returns", tokens.returns, "returns", f"x AS (SELECT response_id, pos, sum(reward * mask) OVER ({_DOWN}) AS v FROM tok)")
+_token_query("advantage_remax", lambda t: tokens.remax(t, "base"), "advantage", f"x AS (SELECT response_id, pos, sum(reward * mask) OVER ({_DOWN}) - base * mask AS v FROM tok)")
+_token_query(
+    "advantage_mean_baseline",
+    lambda t: tokens.mean_baseline(t.drop("advantage")),
+    "advantage",
+    f"""s AS (SELECT uid, response_id, sum(reward) AS s FROM tok GROUP BY ALL), g AS (SELECT uid, CASE WHEN count(*) > 1 THEN avg(s) ELSE 0 END AS g FROM s GROUP BY uid),
+    a AS (SELECT tok.*, s - g AS c FROM tok JOIN s USING (uid, response_id) JOIN g USING (uid)), {_white('c', 'a')}""",
+)
+_token_query(
+    "advantage_several_rewards",
+    lambda t: tokens.several_rewards(t.drop("advantage"), {"reward": 1.0, "reward_b": 0.5}),
+    "advantage",
+    f"""s AS (SELECT uid, response_id, sum(reward) AS a, sum(reward_b) AS b FROM tok GROUP BY ALL),
+    z AS (SELECT uid, response_id, CASE WHEN count(*) OVER u = 1 THEN (a + 0.5 * b) / (1 + 1e-6)
+      ELSE (a - avg(a) OVER u) / (stddev_samp(a) OVER u + 1e-6) + (b - avg(b) OVER u) / (stddev_samp(b) OVER u + 1e-6) * 0.5 END AS c FROM s WINDOW u AS (PARTITION BY uid)),
+    a AS (SELECT tok.*, c FROM tok JOIN z USING (uid, response_id)), {_white('c', 'a')}""",
+)
+_token_query("tokens_whitened", lambda t: tokens.whiten(t.withColumn("advantage", F.col("advantage") * F.col("mask")), "advantage"), "advantage", _white("(advantage * mask)", "tok").replace("1e-8) * mask", "1e-8)"))
+_token_query(
+    "advantage_token_baseline",
+    tokens.token_baseline,
+    "advantage",
+    f"""r AS (SELECT *, sum(reward * mask) OVER ({_DOWN}) AS g, sum((1 - 2 * exp(old) + sum_pi_squared) * mask) OVER ({_UP}) AS w FROM tok),
+    b AS (SELECT uid, pos, sum(g * w * mask) / (sum(w * mask) + 1e-8) AS b FROM r GROUP BY ALL),
+    l AS (SELECT uid, response_id, sum(mask) AS len FROM tok GROUP BY ALL),
+    k AS (SELECT response_id, len, count(*) OVER (PARTITION BY uid) AS n, row_number() OVER o AS i, lead(len) OVER o AS second FROM l WINDOW o AS (PARTITION BY uid ORDER BY len DESC, response_id)),
+    x AS (SELECT response_id, pos, (g - CASE WHEN n = 1 OR (i = 1 AND len > second AND pos >= second) THEN 0 ELSE b END) * mask AS v FROM r JOIN b USING (uid, pos) JOIN k USING (response_id))""",
+)
+_token_query(
+    "tokens_compact",
+    lambda t: tokens.compact(t).withColumn("reward", F.col("reward")),
+    "reward",
+    f"x AS (SELECT response_id, row_number() OVER ({_UP}) - 1 AS pos, reward AS v FROM tok WHERE mask = 1)",
+)
+
+
+def _as_arrays(t: DataFrame) -> DataFrame:
+    packed = t.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("reward").alias("rewards"), "mask"))).alias("_t"))
+    return packed.select("response_id", F.col("_t.rewards").alias("rewards"), F.col("_t.mask").alias("mask"))
+
+
+_token_query(
+    "discounted_returns",
+    lambda t: tokens.explode_tokens(tokens.discounted(_as_arrays(t), 0.9), ["response_id"], ["returns"]),
+    "returns",
+    """z AS (SELECT *, sum(1 - mask) OVER (PARTITION BY response_id ORDER BY pos) AS z FROM tok),
+    x AS (SELECT response_id, pos, sum(reward * pow(0.9, pos)) OVER (PARTITION BY response_id, z ORDER BY pos DESC) / pow(0.9, pos) AS v FROM z)""",
+    digits=10,
+)
+_D = "d AS (SELECT *, greatest(least(new - old, 20), -20) AS d FROM tok)"
+_token_query(
+    "rejection_mask",
+    lambda t: tokens.reject(t, {"token_k1": (0.4, 2.5), "seq_mean_k3": (None, 0.3), "seq_max_k2": (None, 0.35), "seq_sum_k1": (0.3, 3.0)}),
+    "kept_mask",
+    f"""{_D}, k AS (SELECT *, -d BETWEEN ln(0.4) AND ln(2.5) AND sum((exp(d) - 1 - d) * mask) OVER r / (sum(mask) OVER r + 1e-8) <= 0.3
+      AND coalesce(max(0.5 * d * d) FILTER (mask = 1) OVER r, 0) <= 0.35 AND sum(-d * mask) OVER r BETWEEN ln(0.3) AND ln(3.0) AS keep FROM d WINDOW r AS ({_SEQ})),
+    x AS (SELECT response_id, pos, CAST(mask * CAST(keep AS INT) AS DOUBLE) AS v FROM k)""",
+)
+_token_query("weights_token", lambda t: tokens.importance_weights(t, "token", 1.2), "weight", f"{_D}, x AS (SELECT response_id, pos, least(exp(d) * mask, 1.2) AS v FROM d)")
+_token_query(
+    "weights_sequence",
+    lambda t: tokens.importance_weights(t, "sequence", 2.0, 0.5, True),
+    "weight",
+    f"""s AS (SELECT *, exp(greatest(least(sum((new - old) * mask) OVER ({_SEQ}), 20), -20)) * mask AS raw FROM tok), c AS (SELECT *, CASE WHEN raw BETWEEN 0.5 AND 2 THEN raw ELSE 0 END AS w FROM s),
+    m AS (SELECT avg(w) AS m FROM (SELECT avg(w) AS w FROM c WHERE mask = 1 GROUP BY response_id)), x AS (SELECT response_id, pos, w / m AS v FROM c, m)""",
+)
+
+
+@register(
+    "off_policy",
+    f"""WITH {_TOK}, {_D}, p AS (SELECT avg(new) AS n, avg(old) AS o, sum(new - old) AS s FROM tok WHERE mask = 1 GROUP BY response_id)
+    SELECT (SELECT round(avg(exp(-n)), 7) FROM p) AS training_ppl, (SELECT round(avg(exp(-o)), 7) FROM p) AS rollout_ppl, round(avg(old - new), 7) AS kl, round(avg(exp(d) - d - 1), 7) AS k3_kl,
+    round(avg(exp(2 * d)) - 1, 7) AS chi2_token, (SELECT round(avg(exp(2 * greatest(least(s, 20), -20))) - 1, 5) FROM p) AS chi2_seq FROM d WHERE mask = 1""",
+)
+def off_policy(spark: SparkSession, d: str) -> DataFrame:
+    out = tokens.off_policy(_tokens(spark, d))
+    return out.select(*[F.round(c, 5 if c == "chi2_seq" else 7).alias(c) for c in out.columns])
+
+
+@register(
+    "effective_sample",
+    f"WITH {_TOK}, {_D}, w AS (SELECT least(exp(d), 1.2) AS w FROM d WHERE mask = 1) SELECT round(avg(w), 8) AS mean, round(min(w), 8) AS least, round(max(w), 8) AS most, round(avg(w) * avg(w) / avg(w * w), 8) AS effective FROM w",
+)
+def effective_sample(spark: SparkSession, d: str) -> DataFrame:
+    out = tokens.effective_sample(tokens.importance_weights(_tokens(spark, d), "token", 1.2))
+    return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
+
+
+# --- losses --------------------------------------------------------------------
+
+_R = "exp(greatest(least(new - old, 20), -20))"
+_CLIP = f"greatest(least({_R}, 1.2), 0.8)"
+_KL = "(exp(old) * (old - new) + (1 - exp(old)) * ln((1 - exp(old) + 1e-8) / (1 - exp(new) + 1e-8)))"
+_LOSSES: dict[str, tuple[Callable[[], Column], str]] = {
+    "loss_dual_clip": (losses.dual_clip, f"CASE WHEN advantage < 0 THEN least(greatest(-advantage * {_R}, -advantage * {_CLIP}), -advantage * 3) ELSE greatest(-advantage * {_R}, -advantage * {_CLIP}) END"),
+    "loss_total_variation": (losses.total_variation, f"-advantage * least({_R}, 20) * new * CAST(CASE WHEN advantage > 0 THEN exp(new) - exp(old) <= 0.2 ELSE exp(new) - exp(old) >= -0.2 END AS INT)"),
+    "loss_binary_kl": (losses.binary_kl, f"-advantage * least({_R}, 20) * new * CAST(CASE WHEN advantage > 0 THEN {_KL} <= 0.2 OR exp(new) <= exp(old) ELSE {_KL} <= 0.2 OR exp(new) >= exp(old) END AS INT)"),
+    "loss_soft_gate": (losses.soft_gate, f"CASE WHEN advantage > 0 THEN -advantage * 4 / (1 + exp(-({_R} - 1))) ELSE -advantage * 4 / 1.05 / (1 + exp(-1.05 * ({_R} - 1))) END"),
+    "loss_clipped_weight": (losses.clipped_weight, f"-{_CLIP} * advantage * new"),
+    "loss_log_prob": (losses.log_prob, "-advantage * new"),
+    "loss_value": (losses.value, "0.5 * greatest((vpred - ret) * (vpred - ret), pow(greatest(least(vpred, value + 0.5), value - 0.5) - ret, 2))"),
+}
+
+
+def _loss(name: str, column: Callable, sql: str) -> None:
+    per = f"p AS (SELECT sum(mask) AS n, sum(({sql}) * mask) AS s FROM tok GROUP BY response_id)"
+    modes = "round(sum(s) / sum(n), 7) AS token_mean, round(avg(s) FILTER (n > 0), 7) AS seq_sum, round(avg(s / (n + 1e-8)) FILTER (n > 0), 7) AS seq_mean"
+
+    @register(name, f"WITH {_TOK}, {per} SELECT {modes} FROM p")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t, out = _tokens(spark, d), None
+        for mode, label in (("token-mean", "token_mean"), ("seq-mean-token-sum", "seq_sum"), ("seq-mean-token-mean", "seq_mean")):
+            one = losses.aggregate(t, {label: column()}, mode).select(F.round(label, 7).alias(label))
+            out = one if out is None else out.crossJoin(one)
+        return out
+
+
+for _name, (_column, _sql) in _LOSSES.items():
+    _loss(_name, _column, _sql)
+
+
+@register(
+    "loss_sequence_ratio",
+    f"""WITH {_TOK}, q AS (SELECT *, exp(least(sum((new - old) * mask) OVER r / greatest(sum(mask) OVER r, 1), 10)) AS r, sum(mask) OVER r AS n FROM tok WINDOW r AS ({_SEQ})),
+    p AS (SELECT sum(greatest(-advantage * r, -advantage * greatest(least(r, 1.2), 0.8)) * mask) / (max(n) + 1e-8) AS s FROM q GROUP BY response_id HAVING max(n) > 0) SELECT round(avg(s), 7) AS loss FROM p""",
+)
+def loss_sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return losses.sequence_ratio(_tokens(spark, d)).select(F.round("loss", 7).alias("loss"))
+
+
+@register(
+    "loss_geometric_mean",
+    f"""WITH {_TOK}, p AS (SELECT sum(mask) + 1e-8 AS n, sum(advantage * mask) AS a, sum(sign(advantage) * least(sign(advantage) * (new - old), sign(advantage) * greatest(least(new - old, 0.4), -0.4)) * mask) AS s
+    FROM tok GROUP BY response_id) SELECT round(avg(-a / n * exp(s / n)), 7) AS loss FROM p""",
+)
+def loss_geometric_mean(spark: SparkSession, d: str) -> DataFrame:
+    return losses.geometric_mean(_tokens(spark, d)).select(F.round("loss", 7).alias("loss"))
+
+
+# --- scorers and parsers ---------------------------------------------------------
+
+_LAST = "list_filter(regexp_extract_all(right(text, 300), '-?[0-9.,]+'), lambda x: x <> '.')[-1]"
+
+
+@register("score_last_number", f"SELECT doc_id, {_LAST} AS number FROM documents WHERE len(regexp_extract_all(right(text, 300), '-?[0-9.,]+')) > 0 AND {_LAST} IS NOT NULL")
+def score_last_number(spark: SparkSession, d: str) -> DataFrame:
+    found = _t(spark, d, "documents").select("doc_id", scorers.last_number("text", False).alias("number"))
+    return found.where(F.col("number").isNotNull() & (F.col("number") != "."))
+
+
+@register(
+    "score_strict_number",
+    "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0.0 WHEN p_size = 7 THEN 1.0 ELSE 0.1 END::DOUBLE AS score FROM part",
+)
+def score_strict_number(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("so 3 "), F.when(F.col("p_partkey") % 4 == 0, "## ").otherwise("#### "), F.col("p_size").cast("string"))
+    return _t(spark, d, "part").select("p_partkey", scorers.number_score(text, F.lit("7"), format_score=0.1).alias("score"))
+
+
+@register(
+    "score_tagged",
+    "SELECT p_partkey, (CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_size % 2 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 0.25 ELSE 1 END ELSE 0.1 END)::DOUBLE AS score FROM part",
+)
+def score_tagged(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.lit("other thing"))
+    block = F.concat(F.lit("<answer> "), said, F.lit(" </answer>"))
+    many = F.repeat(block, F.when(F.col("p_partkey") % 3 == 0, 11).otherwise(1))
+    text = F.when(F.col("p_partkey") % 5 == 0, said).otherwise(many)
+    return _t(spark, d, "part").select("p_partkey", scorers.tagged_score(text, F.array("p_name"), format_score=0.1).alias("score"))
+
+
+@register(
+    "assistant_turns",
+    """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'rg ' || p_brand END AS command, CASE WHEN p_partkey % 6 = 1 THEN p_name END AS answer,
+    ['', '', 'unknown tool', 'tool call is not JSON', 'no command', 'no tool call or answer'][p_partkey % 6 + 1] AS error FROM part""",
+)
+def assistant_turns(spark: SparkSession, d: str) -> DataFrame:
+    def call(body: Column) -> Column:
+        return F.concat(F.lit("<think>x</think><tool_call>\n"), body, F.lit("\n</tool_call><answer>late</answer>"))
+
+    k = F.col("p_partkey") % 6
+    text = (
+        F.when(k == 0, call(F.concat(F.lit('{"name": "shell", "arguments": {"command": " rg '), "p_brand", F.lit('"}}'))))
+        .when(k == 1, F.concat(F.lit("<answer> "), "p_name", F.lit("\n</answer>")))
+        .when(k == 2, call(F.lit('{"name": "python", "arguments": {"command": "x"}}')))
+        .when(k == 3, call(F.lit('{"name": "shell", ')))
+        .when(k == 4, call(F.lit('{"name": "shell", "arguments": {"command": 3}}')))
+        .otherwise(F.col("p_name"))
+    )
+    turn = _t(spark, d, "part").select("p_partkey", scorers.assistant_turn(text).alias("t"))
+    return turn.select("p_partkey", "t.command", "t.answer", F.coalesce("t.error", F.lit("")).alias("error"))
+
+
+@register(
+    "tool_outputs",
+    """SELECT doc_id, length(text) > 400 AS is_cut, CASE WHEN length(text) > 400 THEN left(text, 200) || '...(truncated)...' || right(text, 200) ELSE text END AS text,
+    contains(lower(text), 'licensed') AND NOT contains(text, '[empty output]') AS named FROM documents""",
+)
+def tool_outputs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", (F.length("text") > 400).alias("is_cut"), scorers.truncated("text", 400, "middle").alias("text"), scorers.mentions("text", F.array(F.lit("LICENSED"))).alias("named"))
+
+
+@register("score_multiset_match", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.25 END::DOUBLE AS score FROM part")
+def score_multiset_match(spark: SparkSession, d: str) -> DataFrame:
+    a = F.array("p_brand", "p_type", "p_brand")
+    b = F.when(F.col("p_partkey") % 2 == 0, a).otherwise(F.array(F.col("p_brand"), F.lit("-")))
+    return _t(spark, d, "part").select("p_partkey", scorers.multiset_match(a, b).alias("score"))
+
+
+@register(
+    "rewards_composed",
+    """SELECT response_id, round(CASE WHEN length % 7 = 0 OR length % 11 = 0 THEN 0 ELSE greatest(score / 100 - CASE WHEN length % 5 = 0 THEN 0 ELSE 0.5 * length / 50 END, 0) END
+      + least(-(length - 40) / 10.0 * 0.5, 0), 7) + 0.0 AS reward FROM (SELECT o_orderkey AS response_id, o_orderkey % 50 + 1 AS length, o_totalprice * 0.000731372918461 AS score FROM orders)""",
+)
+def rewards_composed(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("length")
+    reward = scorers.composed_reward(F.col("score") / 100, answers.length_penalty(n, 50, 0.5, "linear"), n % 7 == 0, n % 11 != 0, "additive_clamped", n % 5 == 0)
+    return _rollouts(spark, d).select("response_id", (F.round(reward + scorers.overlong_penalty(n, 50, 10, 0.5), 7) + 0.0).alias("reward"))
+
+
+@register(
+    "ids_fitted",
+    """SELECT doc_id, array_to_string(CASE WHEN n < 8 THEN list_concat([0 for _ in range(8 - n)], ids) ELSE ids[n - 7:] END, ' ') AS ids,
+    array_to_string([CASE WHEN e = 0 OR i <= e THEN 1 ELSE 0 END for i in range(1, n + 1)], ' ') AS mask
+    FROM (SELECT *, len(ids) AS n, coalesce(list_position(ids, 3), 0) AS e FROM (SELECT doc_id, [CAST(x % 7 AS INT) for x in range(doc_id, doc_id + doc_id % 13)] AS ids FROM documents))""",
+)
+def ids_fitted(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.when(F.col("doc_id") % 13 == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.col("doc_id"), F.col("doc_id") + F.col("doc_id") % 13 - 1), lambda x: (x % 7).cast("int")))
+    docs = _t(spark, d, "documents").select("doc_id", ids.alias("i"))
+    return docs.select("doc_id", F.array_join(scorers.fit_length("i", 8, 0), " ").alias("ids"), F.array_join(scorers.eos_mask("i", 3), " ").alias("mask"))
+
+
+# --- more rows, samples and balanced batches ---------------------------------------
+
+
+@register("rows_chunk", "SELECT n_nationkey AS row_id, n_nationkey // 5 AS part FROM nation")
+def rows_chunk(spark: SparkSession, d: str) -> DataFrame:
+    return rows.chunk(_numbered_nation(spark, d), 5, 25).select(F.col("row_id").cast("int").alias("row_id"), F.col("part").cast("int").alias("part"))
+
+
+@register("rows_drop_remainder", "SELECT n_nationkey AS row_id FROM nation WHERE n_nationkey < 21")
+def rows_drop_remainder(spark: SparkSession, d: str) -> DataFrame:
+    return rows.drop_remainder(_numbered_nation(spark, d), 7).select(F.col("row_id").cast("int").alias("row_id"))
+
+
+@register("rows_pad", "SELECT i AS row_id, n_name, i >= 25 AS is_pad FROM range(64) t(i) JOIN nation ON n_nationkey = i % 25")
+def rows_pad(spark: SparkSession, d: str) -> DataFrame:
+    return rows.pad_to_multiple(_numbered_nation(spark, d), 64)
+
+
+@register("rows_fold", "SELECT CAST(n_nationkey // 5 AS BIGINT) AS row_id, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+def rows_fold(spark: SparkSession, d: str) -> DataFrame:
+    return rows.fold(_numbered_nation(spark, d), 5, ["n_name"]).select("row_id", F.array_join("n_name", ",").alias("names"))
+
+
+@register("rows_unfold", "SELECT CAST(n_nationkey AS BIGINT) AS row_id, n_name FROM nation")
+def rows_unfold(spark: SparkSession, d: str) -> DataFrame:
+    return rows.unfold(rows.fold(_numbered_nation(spark, d), 5, ["n_name"]), 5, ["n_name"])
+
+
+@register("rows_offset_limit", "SELECT doc_id FROM documents WHERE doc_id >= 10 AND n_chars > 500 ORDER BY doc_id LIMIT 20")
+def rows_offset_limit(spark: SparkSession, d: str) -> DataFrame:
+    return rows.offset_limit(_t(spark, d, "documents").withColumn("row_id", F.col("doc_id")), "n_chars > 500", 10, 20).select("doc_id")
+
+
+@register("rows_sample", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
+def rows_sample(spark: SparkSession, d: str) -> DataFrame:
+    return rows.sample(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100, 42)
+
+
+@register(
+    "replay_sample",
+    """WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS task, o_totalprice > 300000 AS p, md5('7:' || o_orderkey) AS h FROM orders),
+    k AS (SELECT *, row_number() OVER (PARTITION BY task, p ORDER BY h, id) AS k FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY k, task, h, id) AS i, count(*) FILTER (p) OVER () AS np FROM k)
+    SELECT id, task, p FROM o WHERE i <= CASE WHEN p THEN 60 ELSE 200 - least(np, 60) END""",
+)
+def replay_sample(spark: SparkSession, d: str) -> DataFrame:
+    pool = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("task"), (F.col("o_totalprice") > 300000).alias("p"))
+    return rows.replay_sample(pool, "id", "task", "p", 200, 0.3, 7)
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in batches of 64 by key."""
+    return _t(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 64).alias("batch"), F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") % 1000 + 1).cast("bigint").alias("length"))
+
+
+@register("partition_differencing")
+def partition_differencing(spark: SparkSession, d: str) -> DataFrame:
+    return balance.partition(_batches(spark, d), "batch", 4)
+
+
+@register("partition_greedy")
+def partition_greedy(spark: SparkSession, d: str) -> DataFrame:
+    return balance.partition(_batches(spark, d), "batch", 4, "greedy")
+
+
+@register("micro_batches")
+def micro_batches(spark: SparkSession, d: str) -> DataFrame:
+    return balance.micro_batches(_batches(spark, d), "batch", 4096)

@@ -14,6 +14,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x: Column | str) -> Column:
+    """Without the white space at both ends, line feeds too."""
+    return F.trim(_c(x), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def answer_tokens(text: Column | str) -> Column:
     """Lower case, no ASCII punctuation, no articles, split on white space."""
     bare = F.translate(F.lower(F.coalesce(_c(text), F.lit(""))), _PUNCT, "")
@@ -64,8 +69,8 @@ def last_answer(text: Column | str) -> Column:
     """The last <answer> block, else the last line that is not blank."""
     blocks = F.regexp_extract_all(_c(text), F.lit(r"(?s)<answer>\s*(.*?)\s*</answer>"), F.lit(1))
     rest = F.regexp_replace(_c(text), r"(?s)<(tool_call|tool_response|think)>.*?</\1>", "")
-    lines = F.filter(F.split(rest, "\n"), lambda x: F.trim(x) != "")
-    return F.coalesce(F.try_element_at(blocks, F.lit(-1)), F.trim(F.try_element_at(lines, F.lit(-1))), F.lit(""))
+    lines = F.filter(F.split(rest, "\n"), lambda x: strip(x) != "")
+    return F.coalesce(F.try_element_at(blocks, F.lit(-1)), strip(F.try_element_at(lines, F.lit(-1))), F.lit(""))
 
 
 def length_penalty(length: Column | str, most: float, strength: float, shape: str) -> Column:
@@ -84,6 +89,23 @@ def hash_share(key: Column | str) -> Column:
     return F.conv(F.substring(F.sha1(_c(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967295.0)
 
 
-def generic_answer(text: Column | str, words: tuple[str, ...] = ("yes", "no", "true", "false", "none", "unknown")) -> Column:
-    bare = F.rtrim(F.lower(F.trim(_c(text))), F.lit(".!?"))
+#: Answers too general to be looked for in a text.
+GENERIC_ANSWERS = (
+    "yes", "no", "true", "false",
+    "both", "all", "none", "neither", "either", "every", "any", "some",
+    "many", "most", "few", "more", "less",
+    "same", "different",
+    "one", "two", "three", "four", "five",
+    "first", "second", "third", "fourth",
+    "left", "right", "top", "bottom", "middle",
+)
+
+
+def generic_answer(text: Column | str, words: tuple[str, ...] = GENERIC_ANSWERS) -> Column:
+    bare = F.rtrim(F.lower(strip(F.coalesce(_c(text), F.lit("")))), F.lit(".!?,;:"))
     return (F.length(bare) < 3) | bare.isin(*words)
+
+
+def boolean_answer(golds: Column | str) -> Column:
+    """Any of the golds is yes, no, true or false."""
+    return F.exists(_c(golds), lambda g: F.rtrim(F.lower(strip(g)), F.lit(".!?")).isin("yes", "no", "true", "false"))

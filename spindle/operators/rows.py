@@ -48,3 +48,72 @@ def first_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def resume(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows that are not done yet."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
+def chunk(rows: DataFrame, parts: int, size: int) -> DataFrame:
+    """``part`` of each of ``size`` rows in equal contiguous parts; a size that does not divide raises."""
+    if size % parts:
+        raise ValueError(f"{size} rows do not make {parts} equal parts")
+    return rows.withColumn("part", F.floor(F.col("row_id") / (size // parts)))
+
+
+def drop_remainder(rows: DataFrame, parts: int) -> DataFrame:
+    """The leading rows that divide evenly."""
+    size = rows.agg(F.count("*").alias("_size"))
+    return rows.join(F.broadcast(size)).where(F.col("row_id") < F.col("_size") - F.col("_size") % parts).drop("_size")
+
+
+def pad_to_multiple(rows: DataFrame, divisor: int) -> DataFrame:
+    """Leading rows once more (and again, if there are few) until the count divides; ``is_pad`` marks them."""
+    size = rows.agg(F.count("*").alias("_size"))
+    whole = rows.join(F.broadcast(size)).withColumn("is_pad", F.lit(False))
+    missing = (divisor - F.col("_size") % divisor) % divisor
+    leading = whole.where((F.col("row_id") < missing) & (F.col("row_id") < divisor))
+    copies = leading.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((missing - 1 - F.col("row_id")) / F.col("_size")))).alias("_copy"))
+    pads = copies.withColumn("row_id", F.col("_size") + F.col("_copy") * F.col("_size") + F.col("row_id")).withColumn("is_pad", F.lit(True))
+    return whole.drop("_size").unionByName(pads.drop("_size", "_copy"))
+
+
+def fold(rows: DataFrame, group: int, columns: list[str]) -> DataFrame:
+    """Each run of ``group`` rows as one, its columns as arrays in order; the count divides."""
+    packed = F.array_sort(F.collect_list(F.struct("row_id", *columns)))
+    out = rows.groupBy(F.floor(F.col("row_id") / group).alias("row_id")).agg(packed.alias("_r"))
+    sized = out.where(F.assert_true(F.size("_r") == group, F.lit("rows do not divide")).isNull())
+    return sized.select("row_id", *[F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def unfold(rows: DataFrame, group: int, columns: list[str]) -> DataFrame:
+    """The rows that ``fold`` packed."""
+    parts = rows.select("row_id", F.posexplode(F.arrays_zip(*columns)).alias("_at", "_x"))
+    return parts.select((F.col("row_id") * group + F.col("_at")).alias("row_id"), *[F.col(f"_x.{c}").alias(c) for c in columns])
+
+
+def offset_limit(rows: DataFrame, keep: str, offset: int, limit: int, order: str = "row_id") -> DataFrame:
+    """The offset counts all rows, the limit those that are kept (a top-n)."""
+    return rows.where((F.col("row_id") >= offset) & F.expr(keep)).orderBy(order).limit(limit)
+
+
+def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows without replacement in the order of a seeded hash of their key: repeatable at any partitioning."""
+    share = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return rows.withColumn("_share", share).orderBy("_share", key).limit(n).drop("_share")
+
+
+def replay_sample(rows: DataFrame, key: str, task: str, positive: str, n: int, ratio: float, seed: int) -> DataFrame:
+    """n rows of a pool: round(n * ratio) positive ones, the rest negative, tasks in turn; one side fills what the other lacks.
+
+    Ranks are within (task, side), cut at n before the shuffle; the choice is a top-n by rank.
+    """
+    share = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    side = F.expr(positive)
+    ranked = rows.withColumn("_side", side).withColumn("_share", share).withColumn("_rank", F.row_number().over(Window.partitionBy(task, "_side").orderBy("_share", key))).where(F.col("_rank") <= n)
+    want = round(n * ratio)
+    sizes = rows.agg(F.count_if(side).alias("_p"), F.count_if(~side).alias("_q")).select(
+        F.least("_p", F.greatest(F.lit(want), F.lit(n) - F.col("_q"))).alias("_up"), F.least("_q", F.greatest(F.lit(n - want), F.lit(n) - F.col("_p"))).alias("_down")
+    )
+    sides = []
+    for s, bound in ((True, "_up"), (False, "_down")):
+        best = ranked.where(F.col("_side") == s).orderBy("_rank", task, "_share", key).limit(n)
+        at = F.row_number().over(Window.orderBy("_rank", task, "_share", key))  # at most n rows
+        sides.append(best.withColumn("_at", at).join(F.broadcast(sizes)).where(F.col("_at") <= F.col(bound)))
+    return sides[0].unionByName(sides[1]).drop("_side", "_share", "_rank", "_at", "_up", "_down")

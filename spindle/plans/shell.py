@@ -16,7 +16,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROGRAMS = ("rg", "grep", "cat", "head", "tail", "wc", "sort", "uniq", "cut", "tr", "sed")
+from spindle.plans.awk import UnsupportedProgram, compile_awk
+
+PROGRAMS = ("rg", "grep", "cat", "head", "tail", "wc", "sort", "uniq", "cut", "tr", "sed", "awk")
+#: Context lines around a hit, at most.
+MOST_CONTEXT = 1000
 MOST_CHARS = 2000
 #: Lines a block when neighbours are compared, so that no window holds the whole corpus.
 BLOCK = 1_000_000
@@ -94,7 +98,7 @@ def _number(text: str | bool) -> int:
 
 def _grep(s: Stream, argv: list[str], program: str) -> Stream:
     flags, rest = _flags(argv, "emABC")
-    known = set("FivwxcnomesSEN")
+    known = set("FivwxcnomesSENABC")
     if set(flags) - known:
         raise UnsupportedPipeline(f"{program}: -{' -'.join(sorted(set(flags) - known))}")
     patterns = str(flags["e"]).split("\n") if "e" in flags else rest[:1]
@@ -118,6 +122,11 @@ def _grep(s: Stream, argv: list[str], program: str) -> Stream:
     for t in tests[1:]:
         hit = hit | t
     rows = s.rows.where(~hit if "v" in flags else hit)
+    if {"A", "B", "C"} & set(flags):
+        if {"c", "o", "m"} & set(flags):
+            raise UnsupportedPipeline("context lines go with neither -c, -o nor -m")
+        after, before = (_number(flags.get(k, flags.get("C", "0"))) for k in "AB")
+        return _context(s, ~hit if "v" in flags else hit, before, after, "n" in flags)
     if "m" in flags:
         rows = rows.orderBy(*s.by()).limit(_number(flags["m"]))
     if "o" in flags:
@@ -144,6 +153,39 @@ def numbered(s: Stream) -> DataFrame:
     return rows.withColumn("_k", within).join(before, "_block").select("line_no", "line", (F.col("_k") + F.col("_before")).alias("nr"))
 
 
+def _context(s: Stream, hit: Column, before: int, after: int, with_numbers: bool) -> Stream:
+    """Hits with their neighbours by line number, ``--`` between runs that do not touch."""
+    if max(before, after) > MOST_CONTEXT:
+        raise UnsupportedPipeline(f"at most {MOST_CONTEXT} context lines")
+    rows = numbered(s).withColumn("_hit", hit)
+    near = rows.where("_hit").select(F.explode(F.sequence(F.col("nr") - before, F.col("nr") + after)).alias("nr")).distinct()
+    shown = rows.join(near, "nr")
+    first = shown.agg(F.min("nr").alias("_first"))
+    touched = near.select((F.col("nr") + 1).alias("nr"), F.lit(True).alias("_touched"))
+    marked = shown.join(touched, "nr", "left").join(F.broadcast(first))
+    line = F.concat(F.col("nr").cast("string"), F.when(F.col("_hit"), ":").otherwise("-"), "line") if with_numbers else F.col("line")
+    opens = F.col("_touched").isNull() & (F.col("nr") > F.col("_first")) & F.lit(before + after > 0)
+    out = marked.select("line_no", F.posexplode(F.when(opens, F.array(F.lit("--"), line)).otherwise(F.array(line))).alias("_at", "line"))
+    return Stream(out, (F.col("line_no"), F.col("_at")))
+
+
+def _awk(s: Stream, argv: list[str]) -> Stream:
+    flags, rest = _flags(argv, "F")
+    if set(flags) - {"F"} or not rest:
+        raise UnsupportedPipeline("awk: a program, and -F at most")
+    try:
+        p = compile_awk(rest[0], str(flags["F"]) if "F" in flags else None)
+    except UnsupportedProgram as e:
+        raise UnsupportedPipeline(str(e)) from e
+    rows = numbered(s) if p.numbered else s.rows
+    rows = rows if p.where is None else rows.where(p.where)
+    if p.total:
+        return Stream(rows.agg(p.line.alias("line")).select(F.lit(0).cast("bigint").alias("line_no"), "line"))
+    if s.order is not None:
+        raise UnsupportedPipeline("awk after sort: sort again after it")
+    return replace(s, rows=rows.select("line_no", p.line.alias("line")))
+
+
 def _head(s: Stream, argv: list[str]) -> Stream:
     n = 10
     for i, a in enumerate(argv):
@@ -273,7 +315,7 @@ def _sed(s: Stream, argv: list[str]) -> Stream:
 def compile_pipeline(text: str, lines: DataFrame) -> Stream:
     """The stream of a pipeline over ``lines`` (line_no, line)."""
     s = Stream(lines.select("line_no", "line"))
-    run = {"head": _head, "tail": _tail, "wc": _wc, "sort": _sort, "uniq": _uniq, "cut": _cut, "tr": _tr, "sed": _sed, "cat": lambda s, _: s}
+    run = {"head": _head, "tail": _tail, "wc": _wc, "sort": _sort, "uniq": _uniq, "cut": _cut, "tr": _tr, "sed": _sed, "awk": _awk, "cat": lambda s, _: s}
     for program, *argv in parse(text):
         s = _grep(s, argv, program) if program in ("rg", "grep") else run[program](s, argv)
     return s

@@ -42,6 +42,22 @@ PIPES = [
     "cat corpus | sed 's/the/X/g'",
     "cat corpus | sed -n '/dog/p'",
     "cat corpus | wc -l -c",
+    "grep -F -A 1 dog corpus",
+    "grep -F -B 2 -n dog corpus",
+    "grep -F -C 1 a,b corpus | grep -v -F -e --",
+    "grep -F -C 3 -n mile corpus",
+    "grep -F -v -A 1 e corpus",
+    "awk '/dog/' corpus",
+    "awk 'NR == 3' corpus",
+    "awk '{print $2}' corpus",
+    "awk -F , '{print $2, $1}' corpus",
+    "awk 'NF > 2 {print NR \":\" $1}' corpus",
+    "awk '!/the/ {print length, $0}' corpus | head -n 4",
+    "awk '/the/ {s += $3} END {print s}' corpus",
+    "awk '/zzz/ {n++} END {print n+0}' corpus",
+    "awk '/the/ {n++} END {print n}' corpus",
+    "awk 'END {print NR}' corpus",
+    "awk '$3 >= 12 {print $3}' corpus",
 ]
 
 
@@ -59,7 +75,7 @@ def test_like_the_programs(pipe, lines, tmp_path):
     assert got == want
 
 
-@pytest.mark.parametrize("pipe", ["rm x", "cat a > b", "grep 'a", "cat a; ls", "grep --frob x", "x" * 3000])
+@pytest.mark.parametrize("pipe", ["rm x", "cat a > b", "grep 'a", "cat a; ls", "awk 'BEGIN {x}' c", "awk '{system(1)}' c", "grep -C 9999 x c", "grep --frob x", "x" * 3000])
 def test_refused(pipe, lines):
     with pytest.raises(UnsupportedPipeline):
         parse(pipe)
