@@ -298,6 +298,19 @@ def test_class_scores(odd, odd_rows, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_classes_of_words_beyond_the_first(spark, monkeypatch):
+    """Words of one last byte that always alternate are told apart, though only four words are clustered first."""
+    monkeypatch.setattr(class_lm, "CLUSTERED", 4)
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
+    rng = random.Random(5)
+    a, b = [f"a{i}x" for i in range(40)], [f"b{i}x" for i in range(40)]
+    rows = [(i, " ".join(f"{rng.choice(a)} {rng.choice(b)}" for _ in range(50))) for i in range(100)]
+    rows += [(100, " ".join(f"{x} {y}" for x, y in zip(a, b, strict=True))), (101, " ".join(a + b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in class_lm.score(docs, F.col("doc_id") < 100, F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101] + 20
+
+
 def test_pipeline_stages(spark, tmp_path):
     import os
 
