@@ -4,7 +4,8 @@ Every stage gets what its predecessor kept, written as Parquet and read again.
 The first four return the columns of ``documents``:
 
 1. quality rules: documents that fail the base rules or the learned list go;
-2. near duplicates: of each class the document with the least doc_id stays;
+2. near duplicates: of each class one row with the least doc_id stays (null is
+   the greatest); of rows repeated with one doc_id and text one stays;
 3. repeated windows: bytes of 50-byte strings that also start in a document
    with a smaller doc_id go, ``n_chars`` is counted anew;
 4. decontamination: documents that match a benchmark item go;
@@ -29,8 +30,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_dedup.near_duplicates(docs)
-    return docs.join(classes.where("class_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # classes of rows, not of doc_ids: a doc_id may stand in several rows or be null
+    rows = Workspace(spark, "rows").write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row", "_hash")).alias("f")
+    firsts = rows.select("_row", "doc_id", F.sha2("text", 256).alias("_hash")).join(classes, "_row").groupBy("class_id").agg(least)
+    # texts without a word have a class each; of these too a repeated row stays once
+    kept = firsts.groupBy("f.doc_id", "f._hash").agg(F.min("f._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

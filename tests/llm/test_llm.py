@@ -311,6 +311,15 @@ def test_classes_of_words_beyond_the_first(spark, monkeypatch):
     assert got[100] > got[101] + 20
 
 
+def test_pipeline_keeps_one_row_of_a_class(spark):
+    import corpus_pipeline
+
+    t, u, v = ("one text of more than five words", "this other text is like no other", "a third one without any doc id")
+    docs = spark.createDataFrame([(1, t), (1, t), (2, t), (3, t), (3, u), (None, t), (None, v), (4, ""), (4, "")], "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, t), (3, u), (None, v), (4, "")])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import os
 
