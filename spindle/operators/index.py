@@ -33,7 +33,8 @@ def words(pattern: str) -> list[str]:
 
 
 def candidates(posted: DataFrame, pattern: str) -> DataFrame:
-    """line_no of the lines in which every word of the pattern lies within a term."""
+    """line_no of the lines in which every word of the pattern lies within a term.
+    A pattern without a word says nothing of lines without a term: ``search`` scans all lines for it."""
     found = words(pattern)
     if not found:
         return posted.select("line_no").distinct()
@@ -44,5 +45,7 @@ def candidates(posted: DataFrame, pattern: str) -> DataFrame:
 
 
 def search(lines: DataFrame, posted: DataFrame, pattern: str) -> DataFrame:
-    """Lines that contain the literal pattern, through the index."""
+    """Lines that contain the literal pattern, through the index if the pattern has a word."""
+    if not words(pattern):
+        return lines.where(F.col("line").contains(pattern))
     return lines.join(candidates(posted, pattern), "line_no", "left_semi").where(F.col("line").contains(pattern))

@@ -88,3 +88,9 @@ def test_index_finds_a_superset(lines):
         hits = {r.line_no for r in lines.where(F.col("line").contains(pattern)).collect()}
         assert hits <= {r.line_no for r in index.candidates(posted, pattern).collect()}
         assert hits == {r.line_no for r in index.search(lines, posted, pattern).collect()}
+
+
+def test_index_search_without_a_word(spark):
+    rows = spark.createDataFrame([(0, "a !"), (1, "b"), (2, "more ! words")], "line_no long, line string")
+    assert {r.line_no for r in index.search(rows, index.postings(rows), "!").collect()} == {0, 2}
+    assert {r.line_no for r in index.search(rows, index.postings(rows), "a").collect()} == {0}
