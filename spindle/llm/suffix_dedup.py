@@ -9,7 +9,7 @@ windows are filed alike wherever they stand.
 
 * Pass 1, first digit: the filed strings ("anchors") go to buckets by hash,
   with a hash of the stretch of all neighbouring windows filed under the same
-  place (48 bits each, and the bucket).  Groups within one document leave.  An equal stretch in a smaller
+  place (48 and 64 bits, and the bucket).  Groups within one document leave.  An equal stretch in a smaller
   document settles a stretch whole.
 * Pass 2, the rest of the depth: what is left are the first documents of
   stretches whose anchor also stands in other stretches.  Their windows go to
@@ -166,7 +166,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
 
         def out():
             ids, anchor, whole = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _rows(_put(labels, (anchor >> np.uint64(48)) % np.uint64(n), ids, _six(anchor), _six(whole)), ["bucket", "base", "ids", "anchor", "whole"])
+            return _rows(_put(labels, (anchor >> np.uint64(48)) % np.uint64(n), ids, _six(anchor), whole), ["bucket", "base", "ids", "anchor", "whole"])
 
         for b in batches:
             b = b.filter(pa.compute.is_valid(b.column(0)))
@@ -183,7 +183,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
 
     def settle(table):
         """For each folder: (stretch, smallest document) that settles it, and whether the anchor has other stretches."""
-        ids, anchor, whole = _open(table, "six", "six")
+        ids, anchor, whole = _open(table, "six", "<u8")
         order = np.lexsort((ids, whole, anchor))
         ids, anchor, whole = ids[order], anchor[order], whole[order]
         new = np.concatenate([[True], anchor[1:] != anchor[:-1]]) if len(ids) else np.zeros(0, bool)
@@ -202,7 +202,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
         if len(folder):
             once = np.concatenate([[True], (folder[1:] != folder[:-1]) | (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])])
             folder, anchor, whole, least, others = folder[once], anchor[once], whole[once], least[once], others[once]
-        return pa.Table.from_batches([_rows(_put(labels, folder, least, _six(anchor), _six(whole), others.astype(np.uint8)), ["folder", "base", "least", "anchor", "whole", "others"])])
+        return pa.Table.from_batches([_rows(_put(labels, folder, least, _six(anchor), whole, others.astype(np.uint8)), ["folder", "base", "least", "anchor", "whole", "others"])])
 
     filed = source.mapInArrow(file_anchors, "bucket int, base bigint, ids binary, anchor binary, whole binary")
     answers = work.write(filed.groupBy("bucket").applyInArrow(settle, "folder int, base bigint, least binary, anchor binary, whole binary, others binary"), "settled", "none")
@@ -220,7 +220,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
 
     def first_pass(left, right):
         """The settled spans and the stretches that the second pass has to look at."""
-        least, anchor, whole, others = _open(right, "six", "six", "u1")
+        least, anchor, whole, others = _open(right, "six", "<u8", "u1")
         mixed = splitmix(anchor) ^ whole
         order = np.argsort(mixed)
         mixed, least, others = mixed[order], least[order], others[order]
@@ -232,7 +232,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
                 spans = np.zeros((0, 2), np.int64)
                 pending, to, pto = spans, np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
                 if len(row) and len(mixed):
-                    a, w = (_column(pa.py_buffer(_six(x).tobytes()), "six") for x in (a, w))
+                    a = _column(pa.py_buffer(_six(a).tobytes()), "six")
                     mine = splitmix(a) ^ w
                     at = np.minimum(np.searchsorted(mixed, mine), len(mixed) - 1)
                     known = (mixed[at] == mine) & (ids[i:j][row] != -(1 << 63))

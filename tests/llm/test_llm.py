@@ -311,6 +311,20 @@ def test_classes_of_words_beyond_the_first(spark, monkeypatch):
     assert got[100] > got[101] + 20
 
 
+def test_stretches_that_differ_in_high_bits(spark, monkeypatch):
+    whole = suffix_dedup.stretches
+
+    def high(data, offs, depth):
+        row, start, end, anchor, stretch = whole(data, offs, depth)
+        return row, start, end, anchor & np.uint64(0), stretch << np.uint64(48)
+
+    monkeypatch.setattr(suffix_dedup, "stretches", high)
+    texts = ["a stretch of text that no other document has, long enough for a window", "quite another line of words, which is as long as the first one was made"]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs).collect()}
+    assert got[0] == got[1] == 0 and got[2] > 0
+
+
 def test_pipeline_keeps_one_row_of_a_class(spark):
     import corpus_pipeline
 
