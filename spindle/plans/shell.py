@@ -1,29 +1,97 @@
 """Read-only text pipelines (``rg … | sort | uniq | head``) compiled to DataFrames.
 
 A pipeline is parsed to stages, validated, and compiled stage by stage over a
-table (line_no, line).  A stream is ordered by line_no or, after ``sort``, by
-its own key; nothing runs until the result is asked for.  Single-file shell
-semantics are the rule: a filter chain is one conjunction, ``head`` a top-n,
-``wc`` an aggregate, ``uniq`` collapses neighbours only.
+table (line_no, line).  ``line_no`` orders the lines: an integer, or the struct
+(doc_id, pos) of ``corpus_lines``.  A stream carries its order as columns:
+``line_no``, or after ``sort`` the hidden keys ``_k0``, ``_k1`` … that later
+stages keep while they change ``line``.  Nothing runs until the result is asked
+for, but for places in a sorted stream (``sort | sed -n 3p``), which are read
+from a written copy.
+
+Single-file shell semantics are the rule: a filter chain is one conjunction,
+``head`` a top-n, ``wc`` an aggregate, ``uniq`` collapses neighbours only.  A
+flag that a program here does not know is refused, never ignored.
 """
 
 from __future__ import annotations
 
+import fnmatch
+import json
 import re
 import shlex
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from spindle.plans import patterns
 from spindle.plans.awk import UnsupportedProgram, compile_awk
+from spindle.sources.scratch import written
 
-PROGRAMS = ("rg", "grep", "cat", "head", "tail", "wc", "sort", "uniq", "cut", "tr", "sed", "awk")
+PROGRAMS = ("rg", "grep", "cat", "ls", "find", "head", "tail", "wc", "sort", "uniq", "cut", "tr", "sed", "awk")
 #: Context lines around a hit, at most.
 MOST_CONTEXT = 1000
 MOST_CHARS = 2000
+#: Documents (or runs of 65,536 line numbers) a block: one row a block meets in one task.
+_BLOCK_BITS = 16
 #: Lines a block when neighbours are compared, so that no window holds the whole corpus.
-BLOCK = 1_000_000
+_PLACES = 1 << 20
+
+#: Words and constructs that are refused wherever they stand (fixed values).
+REFUSED = [
+    (r"\bsed\b[^|]*\s-(?:[a-zA-Z]*i|-in-place)\b", "sed -i / --in-place"),
+    (r"\b(?:awk|gawk)\b[^|]*\s-i\s+inplace\b", "awk -i inplace"),
+    (r"\b(?:awk|gawk)\b[^|]*\s--in-place\b", "awk --in-place"),
+    (r"\bfind\b[^|]*\s-delete\b", "find -delete"),
+    (r"\bfind\b[^|]*\s-exec(?:dir)?\b", "find -exec / -execdir"),
+    (r"\b(?:awk|gawk)\b[^|]*\bsystem\s*\(", "awk system() call"),
+    (r"\b(?:awk|gawk)\b[^|]*\bprintf?\b[^|]*>\s*[\"']", "awk print > file"),
+    (r"\b(?:awk|gawk)\b[^|]*\|\s*[\"']", "awk pipe-to-shell-command"),
+    (r"\bsed\b[^|]*'\s*e\s+", "sed 'e' (execute shell) command"),
+    (r"\b(?:rm|mv|cp|dd|chmod|chown|chgrp|truncate|install|tee|ln)\b", "destructive/write command"),
+]
+
+#: Long options by program: the short flag, or None for those without effect here.
+_SEARCH_LONG = {
+    "fixed-strings": "F", "ignore-case": "i", "word-regexp": "w", "line-regexp": "x", "invert-match": "v", "count": "c", "only-matching": "o",
+    "max-count": "m", "regexp": "e", "case-sensitive": "s", "smart-case": "S", "line-number": "n", "no-line-number": "N", "after-context": "A",
+    "before-context": "B", "context": "C", "files-with-matches": "l", "files-without-match": "L", "with-filename": "H", "no-filename": "h",
+    "extended-regexp": "E", "basic-regexp": "G", "json": "J", "no-config": None, "mmap": None, "no-mmap": None, "line-buffered": None, "no-messages": None,
+    "no-heading": None, "text": None, "color": None, "colour": None,
+}
+_LONG = {
+    "rg": _SEARCH_LONG,
+    "grep": _SEARCH_LONG,
+    "head": {"lines": "n"},
+    "tail": {"lines": "n"},
+    "wc": {"lines": "l", "words": "w", "bytes": "c", "chars": "m", "max-line-length": "L"},
+    "sort": {"reverse": "r", "numeric-sort": "n", "unique": "u", "ignore-case": "f", "key": "k", "field-separator": "t", "stable": "s", "ignore-leading-blanks": "b"},
+    "uniq": {"count": "c", "repeated": "d", "unique": "u", "ignore-case": "i"},
+    "cut": {"delimiter": "d", "fields": "f", "characters": "c", "bytes": "b", "only-delimited": "s"},
+    "tr": {"delete": "d", "squeeze-repeats": "s", "complement": "c"},
+    "sed": {"regexp-extended": "E", "quiet": "n", "silent": "n", "expression": "e"},
+    "awk": {"field-separator": "F"},
+    "cat": {"number": "n"},
+    "ls": {},
+    "find": {},
+}
+#: (flags with a value, flags without one) of each program.
+_SHORT = {
+    "rg": ("emABC", "FivwxcnosSNlLHhEGJIUa"),
+    "grep": ("emABC", "FivwxcnosSNlLHhEGa"),
+    "head": ("n", "q"),
+    "tail": ("n", "q"),
+    "wc": ("", "lwcmL"),
+    "sort": ("kt", "rnufsb"),
+    "uniq": ("", "cdui"),
+    "cut": ("dfcb", "s"),
+    "tr": ("", "dscC"),
+    "sed": ("e", "nEr"),
+    "awk": ("F", ""),
+    "cat": ("", "nu"),
+    "ls": ("", "1aR"),
+}
 
 
 class UnsupportedPipeline(ValueError):
@@ -31,44 +99,121 @@ class UnsupportedPipeline(ValueError):
 
 
 def parse(text: str) -> list[list[str]]:
-    """Stages as argument lists."""
-    if "\n" in text or len(text) > MOST_CHARS:
-        raise UnsupportedPipeline("one line of at most 2000 characters")
+    """Stages as argument lists.  Within double quotes ``$`` and a digit is an
+    empty argument, as in a shell without arguments; other expansions are refused."""
+    if "\n" in text:
+        raise UnsupportedPipeline("newlines not allowed in command")
+    if len(text) > MOST_CHARS:
+        raise UnsupportedPipeline("command too long")
+    for pattern, name in REFUSED:
+        if re.search(pattern, text):
+            raise UnsupportedPipeline(f"disallowed: {name}")
+    bare = re.sub(r"'[^']*'|\"[^\"]*\"", "", text)
+    for x in ("`", "$(", "&&", "||", ";", ">", "<"):
+        if x in bare:
+            raise UnsupportedPipeline(f"disallowed shell construct: {x!r}")
     out = []
     for part in text.split("|"):
+        if not part.strip():
+            raise UnsupportedPipeline("empty pipeline segment")
         try:
-            argv = shlex.split(part)
+            argv = shlex.split(expanded(part))
         except ValueError as e:
-            raise UnsupportedPipeline(f"quotes: {e}") from e
-        if not argv or argv[0].rsplit("/", 1)[-1] not in PROGRAMS:
-            raise UnsupportedPipeline(f"not a program of this language: {part.strip()!r}")
-        if any(x in re.sub(r"'[^']*'|\"[^\"]*\"", "", part) for x in ("`", "$(", "&&", ";", ">", "<")):
-            raise UnsupportedPipeline("only plain pipelines")
-        out.append([argv[0].rsplit("/", 1)[-1], *argv[1:]])
+            raise UnsupportedPipeline(f"could not parse segment: {e}") from e
+        program = argv[0].rsplit("/", 1)[-1] if argv else ""
+        if program not in PROGRAMS:
+            raise UnsupportedPipeline(f"command {program!r} not in whitelist")
+        out.append([program, *argv[1:]])
+    return out
+
+
+def expanded(part: str) -> str:
+    """What a shell makes of ``$`` outside single quotes before it cuts words."""
+    out, quote, i = "", "", 0
+    while i < len(part):
+        c = part[i]
+        if c == "\\" and quote != "'" and i + 1 < len(part):
+            out += part[i : i + 2]
+            i += 2
+            continue
+        if c in "'\"" and quote in ("", c):
+            quote = "" if quote else c
+        elif quote != "'" and c == "`":
+            raise UnsupportedPipeline("disallowed shell construct: '`'")
+        elif quote != "'" and c == "$" and i + 1 < len(part):
+            if part[i + 1].isdigit():
+                i += 2
+                continue
+            if part[i + 1].isalpha() or part[i + 1] in "_({@*#?!-":
+                raise UnsupportedPipeline("variables are not expanded")
+        out += c
+        i += 1
     return out
 
 
 @dataclass(frozen=True)
 class Stream:
     rows: DataFrame
-    #: None: by line_no; else the sort expressions.
-    order: tuple[Column, ...] | None = None
-    exit_code: int = 0
-
-    def by(self) -> tuple[Column, ...]:
-        return self.order if self.order is not None else (F.col("line_no"),)
-
-
-def _flags(argv: list[str], values: str) -> tuple[dict[str, str | bool], list[str]]:
-    """Short flags, clustered or not; those in ``values`` take one."""
+    #: (column, descending) of the stream's order.
+    order: tuple[tuple[str, bool], ...] = (("line_no", False),)
+    #: Equal lines are neighbours.
+    grouped: bool = False
+    #: Every line of every document is still there.
+    raw: bool = False
+    #: The last program was a search: no row is exit code 1.
+    search: bool = False
+    name: str = "corpus.jsonl"
+    files: dict[str, DataFrame] = field(default_factory=dict)
+
+    def by(self, backwards: bool = False) -> list[Column]:
+        return [F.col(c).desc() if down != backwards else F.col(c).asc() for c, down in self.order]
+
+    @property
+    def keys(self) -> list[str]:
+        return [c for c, _ in self.order]
+
+    @property
+    def sorted(self) -> bool:
+        return self.order != (("line_no", False),)
+
+    def kept(self, line: Column, **changes) -> Stream:
+        """The same rows with another line."""
+        return replace(self, rows=self.rows.withColumn("line", line), grouped=False, **changes)
+
+    def single(self, line: Column) -> Stream:
+        """One row: an aggregate."""
+        return Stream(self.rows.agg(line.alias("line")).select(F.lit(0).cast("bigint").alias("line_no"), "line"), name=self.name, files=self.files)
+
+
+def _flags(argv: list[str], program: str) -> tuple[dict[str, str | bool], list[str]]:
+    """Flags, short (clustered or not) and long, and the other arguments."""
+    values, switches = _SHORT[program]
     flags: dict[str, str | bool] = {}
     rest, i = [], 0
+
+    def put(name: str, value: str | bool) -> None:
+        flags[name] = f"{flags[name]}\n{value}" if name in "ek" and name in flags else value
+
     while i < len(argv):
         a = argv[i]
         if a == "--":
             rest += argv[i + 1 :]
             break
-        if a.startswith("-") and len(a) > 1 and not a.startswith("--"):
+        if a.startswith("--"):
+            name, has, value = a[2:].partition("=")
+            if name not in _LONG[program]:
+                raise UnsupportedPipeline(f"{program}: --{name}")
+            short = _LONG[program][name]
+            if short and short in values:
+                if not has:
+                    i += 1
+                    if i >= len(argv):
+                        raise UnsupportedPipeline(f"--{name} needs a value")
+                    value = argv[i]
+                put(short, value)
+            elif short:
+                put(short, True)
+        elif a.startswith("-") and len(a) > 1:
             j = 1
             while j < len(a):
                 if a[j] in values:
@@ -78,12 +223,12 @@ def _flags(argv: list[str], values: str) -> tuple[dict[str, str | bool], list[st
                         if i >= len(argv):
                             raise UnsupportedPipeline(f"-{a[j]} needs a value")
                         value = argv[i]
-                    flags[a[j]] = f"{flags[a[j]]}\n{value}" if a[j] == "e" and "e" in flags else value
+                    put(a[j], value)
                     break
-                flags[a[j]] = True
+                if a[j] not in switches:
+                    raise UnsupportedPipeline(f"{program}: -{a[j]}")
+                put(a[j], True)
                 j += 1
-        elif a.startswith("--"):
-            raise UnsupportedPipeline(f"long option {a}")
         else:
             rest.append(a)
         i += 1
@@ -96,68 +241,169 @@ def _number(text: str | bool) -> int:
     return int(text)
 
 
+def _java(p: str, program: str, flags: dict) -> str:
+    try:
+        return p if program == "rg" else patterns.posix(p, "E" in flags)
+    except ValueError as e:
+        raise UnsupportedPipeline(str(e)) from e
+
+
 def _grep(s: Stream, argv: list[str], program: str) -> Stream:
-    flags, rest = _flags(argv, "emABC")
-    known = set("FivwxcnomesSENABC")
-    if set(flags) - known:
-        raise UnsupportedPipeline(f"{program}: -{' -'.join(sorted(set(flags) - known))}")
-    patterns = str(flags["e"]).split("\n") if "e" in flags else rest[:1]
-    if not patterns:
-        raise UnsupportedPipeline("no pattern")
-    fold = "i" in flags or ("S" in flags and "s" not in flags and not any(c.isupper() for p in patterns for c in p))
+    flags, rest = _flags(argv, program)
+    if "e" in flags:
+        found = str(flags["e"]).split("\n")
+    else:
+        if not rest:
+            raise UnsupportedPipeline("no pattern")
+        found, rest = rest[:1], rest[1:]
+    s = _open(s, rest)
+    # -s is "case-sensitive" for rg, "no messages" for grep
+    fold = "i" in flags or (program == "rg" and "S" in flags and "s" not in flags and not any(c.isupper() for p in found for c in p))
     line = F.col("line")
-    tests = []
-    for p in patterns:
+    tests, bodies = [], []
+    for p in found:
         literal = "F" in flags or not re.search(r"[\\.^$*+?()\[\]{}|]", p)
-        if literal and not {"w", "x", "o"} & set(flags):
-            tests.append(F.lower(line).contains(p.lower()) if fold else line.contains(p))
-            continue
-        body = re.escape(p) if literal else p
+        body = patterns.plain(p) if literal else _java(p, program, flags)
         if "x" in flags:
             body = f"^(?:{body})$"
         elif "w" in flags:
             body = rf"(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])"
-        tests.append(line.rlike(f"(?iu){body}" if fold else body))
+        body = f"(?iu){body}" if fold else body
+        bodies.append(f"(?:{body})")
+        if literal and not {"w", "x"} & set(flags):
+            tests.append(patterns.folded_contains(line, p) if fold else line.contains(p))
+        elif literal and "x" in flags and not fold:
+            tests.append(line == p)
+        else:
+            tests.append(line.rlike(body))
     hit = tests[0]
     for t in tests[1:]:
         hit = hit | t
-    rows = s.rows.where(~hit if "v" in flags else hit)
+    hit = ~hit if "v" in flags else hit
     if {"A", "B", "C"} & set(flags):
-        if {"c", "o", "m"} & set(flags):
-            raise UnsupportedPipeline("context lines go with neither -c, -o nor -m")
+        if {"c", "o", "m", "l", "L", "J", "H"} & set(flags):
+            raise UnsupportedPipeline("context lines go with neither -c, -o, -m, -l, -L, -H nor --json")
         after, before = (_number(flags.get(k, flags.get("C", "0"))) for k in "AB")
-        return _context(s, ~hit if "v" in flags else hit, before, after, "n" in flags)
+        return _context(s, hit, before, after, "n" in flags)
+    counting = {"l", "L", "c"} & set(flags)
+    numbers = "n" in flags and "N" not in flags and not counting
+    if numbers or "J" in flags:
+        s = replace(numbered(s), raw=False)
+    rows = s.rows.where(hit)
     if "m" in flags:
         rows = rows.orderBy(*s.by()).limit(_number(flags["m"]))
-    if "o" in flags:
-        body = re.escape(patterns[0]) if "F" in flags else patterns[0]
-        found = F.regexp_extract_all(line, F.lit(f"(?iu){body}" if fold else body), F.lit(0))
-        rows = rows.select("line_no", F.posexplode(found).alias("_at", "line"))
-        if s.order is None:
-            return replace(s, rows=rows, order=(F.col("line_no"), F.col("_at")))
+    out = replace(s, rows=rows, raw=False, search=True)
+    if {"l", "L"} & set(flags):
+        any_ = F.count("*") > 0
+        shown = rows.agg((any_ if "l" in flags else ~any_).alias("_any")).where("_any").select(F.lit(0).cast("bigint").alias("line_no"), F.lit(s.name).alias("line"))
+        return Stream(shown, search=True, name=s.name, files=s.files)
+    prefix = [F.lit(s.name)] if "H" in flags and "h" not in flags else []
     if "c" in flags:
-        return Stream(rows.agg(F.count("*").cast("string").alias("line")).select(F.lit(0).cast("bigint").alias("line_no"), "line"))
-    if "n" in flags:
-        rows = numbered(replace(s, rows=s.rows)).join(rows.select("line_no"), "line_no", "left_semi").select("line_no", F.concat_ws(":", F.col("nr").cast("string"), "line").alias("line"))
-    return replace(s, rows=rows)
-
-
-def numbered(s: Stream) -> DataFrame:
-    """line_no, line and nr, the place in the stream from 1, without a window over all rows."""
-    if s.order is not None:
-        raise UnsupportedPipeline("line numbers after sort")
-    rows = s.rows.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
-    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_block").orderBy("line_no"))
-    return rows.withColumn("_k", within).join(before, "_block").select("line_no", "line", (F.col("_k") + F.col("_before")).alias("nr"))
+        if "o" in flags and program == "rg":
+            raise UnsupportedPipeline("rg -c -o counts matches")
+        return replace(out.single(F.concat_ws(":", *prefix, F.count("*").cast("string"))), search=True)
+    if "J" in flags:
+        if program != "rg" or {"o", "v"} & set(flags):
+            raise UnsupportedPipeline("--json: rg without -o and -v")
+        return _json(out, "|".join(bodies))
+    if "o" in flags:
+        if "v" in flags:
+            raise UnsupportedPipeline("-o with -v prints nothing")
+        texts = F.filter(F.regexp_extract_all(line, F.lit("|".join(bodies)), F.lit(0)), lambda x: x != "")
+        place = f"_at{len(out.order)}"
+        rows = out.rows.select(*_others(out.rows), F.posexplode(texts).alias(place, "line"))
+        out = replace(out, rows=rows, order=(*out.order, (place, False)))
+    if numbers:
+        prefix.append(F.col("nr").cast("string"))
+    if prefix:
+        out = replace(out.kept(F.concat_ws(":", *prefix, "line")), search=True)
+    return replace(out, rows=out.rows.drop("nr"))
+
+
+def _others(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c != "line"]
+
+
+def _json(s: Stream, body: str) -> Stream:
+    """One message of the type "match" a line; the summary messages are left out."""
+    text = F.concat("line", F.lit("\n"))
+    pieces = F.regexp_extract_all("line", F.lit(f"(?s)(.*?)({body})"), F.lit(1))
+    hits = F.regexp_extract_all("line", F.lit(f"(?s)(.*?)({body})"), F.lit(2))
+    pairs = F.filter(F.arrays_zip(pieces.alias("gap"), hits.alias("hit")), lambda x: x["hit"] != "")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:struct<text:string>,start:int,end:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + F.octet_length(x["gap"])
+        end = begin + F.octet_length(x["hit"])
+        one = F.struct(F.struct(x["hit"].alias("text")).alias("match"), begin.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    found = F.aggregate(pairs, start, step, lambda a: a["out"])
+    data = F.struct(F.struct(F.lit(s.name).alias("text")).alias("path"), F.struct(text.alias("text")).alias("lines"), F.col("nr").alias("line_number"), found.alias("submatches"))
+    return replace(s.kept(F.to_json(F.struct(F.lit("match").alias("type"), data.alias("data")))), search=True)
+
+
+def _open(s: Stream, names: list[str]) -> Stream:
+    """The named tables, one after the other, where a catalogue of tables is given."""
+    names = [n for n in names if n != "-"]
+    if not names:
+        return s
+    if not s.files:
+        return replace(s, name=names[0])
+    if missing := [n for n in names if n not in s.files]:
+        raise UnsupportedPipeline(f"{missing[0]}: no such file")
+    if len(names) == 1:
+        return replace(s, rows=s.files[names[0]].select("line_no", "line"), name=names[0], raw=True)
+    parts = [s.files[n].select(F.lit(i).alias("_file"), "line_no", "line") for i, n in enumerate(names)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return replace(s, rows=rows, order=(("_file", False), ("line_no", False)), name=names[0])
+
+
+def numbered(s: Stream) -> Stream:
+    """The stream with ``nr``, the place of each line from 1.
+
+    In the corpus' own order: counts per document, summed over blocks of 65,536
+    documents, of which one row each meets in one task.  In another order: the
+    sorted stream is written, and one count per written partition is collected.
+    """
+    rows = s.rows
+    if s.sorted:
+        ordered = rows.orderBy(*s.by()).withColumn("_place", F.monotonically_increasing_id())
+        kept = written(ordered, "sorted")
+        counts = kept.groupBy(F.shiftright("_place", 33).alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+        before, total = [], 0
+        for r in counts:
+            before.append((r["_part"], total))
+            total += r["n"]
+        starts = kept.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
+        out = kept.withColumn("_part", F.shiftright("_place", 33)).join(F.broadcast(starts), "_part")
+        nr = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+        return replace(s, rows=out.withColumn("nr", nr).drop("_part", "_place", "_before"), order=(("nr", False),))
+    if isinstance(rows.schema["line_no"].dataType, StructType):
+        rows = rows.withColumn("_doc", F.coalesce("line_no.doc_id", F.lit(-(1 << 63)))).withColumn("_pos", F.col("line_no.pos"))
+    else:
+        rows = rows.withColumn("_doc", F.shiftright("line_no", _BLOCK_BITS)).withColumn("_pos", F.col("line_no"))
+    docs = rows.groupBy("_doc").agg(F.count("*").alias("_n")).withColumn("_block", F.shiftright("_doc", _BLOCK_BITS))
+    inner = docs.withColumn("_within", F.sum("_n").over(Window.partitionBy("_block").orderBy("_doc")) - F.col("_n"))
+    blocks = docs.groupBy("_block").agg(F.sum("_n").alias("_all"))
+    blocks = blocks.select("_block", (F.sum("_all").over(Window.orderBy("_block")) - F.col("_all")).alias("_outer"))
+    starts = inner.join(blocks, "_block").select("_doc", (F.col("_within") + F.col("_outer")).alias("_before"))
+    if s.raw and isinstance(s.rows.schema["line_no"].dataType, StructType):
+        place = F.col("_pos") + 1
+    else:
+        place = F.row_number().over(Window.partitionBy("_doc").orderBy("_pos"))
+    out = rows.withColumn("_k", place).join(starts, "_doc").withColumn("nr", (F.col("_k") + F.col("_before")).cast("bigint"))
+    return replace(s, rows=out.drop("_doc", "_pos", "_k", "_before"))
 
 
 def _context(s: Stream, hit: Column, before: int, after: int, with_numbers: bool) -> Stream:
-    """Hits with their neighbours by line number, ``--`` between runs that do not touch."""
+    """Hits with their neighbours, ``--`` between runs that do not touch."""
     if max(before, after) > MOST_CONTEXT:
         raise UnsupportedPipeline(f"at most {MOST_CONTEXT} context lines")
-    rows = numbered(s).withColumn("_hit", hit)
+    s = numbered(s)
+    rows = s.rows.withColumn("_hit", hit)
     near = rows.where("_hit").select(F.explode(F.sequence(F.col("nr") - before, F.col("nr") + after)).alias("nr")).distinct()
     shown = rows.join(near, "nr")
     first = shown.agg(F.min("nr").alias("_first"))
@@ -165,163 +411,415 @@ def _context(s: Stream, hit: Column, before: int, after: int, with_numbers: bool
     marked = shown.join(touched, "nr", "left").join(F.broadcast(first))
     line = F.concat(F.col("nr").cast("string"), F.when(F.col("_hit"), ":").otherwise("-"), "line") if with_numbers else F.col("line")
     opens = F.col("_touched").isNull() & (F.col("nr") > F.col("_first")) & F.lit(before + after > 0)
-    out = marked.select("line_no", F.posexplode(F.when(opens, F.array(F.lit("--"), line)).otherwise(F.array(line))).alias("_at", "line"))
-    return Stream(out, (F.col("line_no"), F.col("_at")))
+    out = marked.select("line_no", "nr", F.posexplode(F.when(opens, F.array(F.lit("--"), line)).otherwise(F.array(line))).alias("_at", "line"))
+    return replace(s, rows=out, order=(("nr", False), ("_at", False)), grouped=False, raw=False, search=True)
 
 
 def _awk(s: Stream, argv: list[str]) -> Stream:
-    flags, rest = _flags(argv, "F")
-    if set(flags) - {"F"} or not rest:
+    flags, rest = _flags(argv, "awk")
+    if not rest:
         raise UnsupportedPipeline("awk: a program, and -F at most")
+    s = _open(s, rest[1:])
     try:
         p = compile_awk(rest[0], str(flags["F"]) if "F" in flags else None)
     except UnsupportedProgram as e:
         raise UnsupportedPipeline(str(e)) from e
-    rows = numbered(s) if p.numbered else s.rows
-    rows = rows if p.where is None else rows.where(p.where)
+    s = numbered(s) if p.numbered else s
+    rows = s.rows if p.where is None else s.rows.where(p.where)
     if p.total:
-        return Stream(rows.agg(p.line.alias("line")).select(F.lit(0).cast("bigint").alias("line_no"), "line"))
-    if s.order is not None:
-        raise UnsupportedPipeline("awk after sort: sort again after it")
-    return replace(s, rows=rows.select("line_no", p.line.alias("line")))
+        return replace(s, rows=rows).single(p.line)
+    out = replace(s, rows=rows, raw=False).kept(p.line)
+    return out if "nr" in out.keys else replace(out, rows=out.rows.drop("nr"))
 
 
 def _head(s: Stream, argv: list[str]) -> Stream:
-    n = 10
-    for i, a in enumerate(argv):
-        if m := re.fullmatch(r"-n?(\d+)", a):
-            n = int(m[1])
-        elif a == "-n" and i + 1 < len(argv):
-            n = _number(argv[i + 1])
-    return replace(s, rows=s.rows.orderBy(*s.by()).limit(n))
+    n, argv = _count(argv, "head")
+    if n.startswith(("-", "+")):
+        raise UnsupportedPipeline("head: all but the last lines")
+    s = _open(s, argv)
+    return replace(s, rows=s.rows.orderBy(*s.by()).limit(_number(n)), raw=False)
+
+
+def _count(argv: list[str], program: str) -> tuple[str, list[str]]:
+    """The number of lines (with its sign) and the other arguments."""
+    argv = ["-n" + a[1:] if re.fullmatch(r"-\d+", a) else a for a in argv]
+    flags, rest = _flags(argv, program)
+    return str(flags.get("n", "10")), rest
 
 
 def _tail(s: Stream, argv: list[str]) -> Stream:
-    value = next((a for a in reversed(argv) if re.fullmatch(r"[+-]?n?\+?\d+", a)), "10").replace("n", "").lstrip("-")
-    if value.startswith("+"):
-        return replace(s, rows=numbered(s).where(F.col("nr") >= int(value[1:])).drop("nr"))
-    if s.order is not None:
-        raise UnsupportedPipeline("tail after sort: sort -r and head")
-    return replace(s, rows=s.rows.orderBy(F.desc("line_no")).limit(int(value)))
+    n, argv = _count(argv, "tail")
+    s = _open(s, argv)
+    if n.startswith("+"):
+        s = numbered(s)
+        out = replace(s, rows=s.rows.where(F.col("nr") >= _number(n[1:])), raw=False)
+        return out if "nr" in out.keys else replace(out, rows=out.rows.drop("nr"))
+    return replace(s, rows=s.rows.orderBy(*s.by(backwards=True)).limit(_number(n.lstrip("-"))), raw=False)
 
 
 def _wc(s: Stream, argv: list[str]) -> Stream:
-    flags, _ = _flags(argv, "")
+    flags, rest = _flags(argv, "wc")
+    s = _open(s, rest)
     words = F.size(F.filter(F.split("line", r"\s+"), lambda x: x != ""))
-    of = {"l": F.count("*"), "w": F.coalesce(F.sum(words), F.lit(0)), "c": F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)), "m": F.coalesce(F.sum(F.length("line") + 1), F.lit(0))}
-    keys = [k for k in "lwcm" if k in flags] or ["l", "w", "c"]
-    return Stream(s.rows.agg(F.concat_ws(" ", *[of[k].cast("string") for k in keys]).alias("line")).select(F.lit(0).cast("bigint").alias("line_no"), "line"))
+    of = {
+        "l": F.count("*"),
+        "w": F.coalesce(F.sum(words), F.lit(0)),
+        "m": F.coalesce(F.sum(F.length("line") + 1), F.lit(0)),
+        "c": F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)),
+        "L": F.coalesce(F.max(_width()), F.lit(0)),
+    }
+    return s.single(F.concat_ws(" ", *[of[k].cast("string") for k in "lwmcL" if k in flags or not flags and k in "lwc"]))
+
+
+def _width() -> Column:
+    """Columns of a line with tab stops every eight."""
+    parts = F.split("line", "\t")
+    stops = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.lit(0), lambda a, x: (F.floor((a + F.length(x)) / 8) * 8 + 8).cast("int"))
+    return stops + F.length(F.element_at(parts, -1))
+
+
+def _sort_key(spec: str, flags: dict) -> tuple[Column, bool]:
+    """A key and whether it falls; ``2``, ``2,3``, ``2n``, ``2,2nr``."""
+    line = F.col("line")
+    m = re.fullmatch(r"(\d+)([bfnr]*)(?:,(\d+)([bfnr]*))?", spec) if spec else None
+    if spec and (not m or m[1] == "0"):
+        raise UnsupportedPipeline(f"sort -k {spec}")
+    own = set((m[2] or "") + (m[4] or "")) if m else set()
+    opts = own or set(flags) & set("bfnr")
+    key = line
+    if m:
+        first, last = int(m[1]), int(m[3]) if m[3] else 1 << 30
+        if "t" in flags:
+            sep = str(flags["t"]).replace("\\t", "\t")
+            if len(sep) != 1:
+                raise UnsupportedPipeline("sort -t: one character")
+            key = F.array_join(F.slice(F.split(line, patterns.plain(sep)), first, max(0, min(last, 1 << 30) - first + 1)), sep)
+        else:
+            parts = F.regexp_extract_all(line, F.lit(r"[ \t]*[^ \t]+"), F.lit(0))
+            key = F.array_join(F.slice(parts, first, max(0, last - first + 1)), "")
+    if "b" in opts:
+        key = F.regexp_replace(key, r"^[ \t]+", "")
+    if "f" in opts:
+        key = F.translate(key, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    if "n" in opts:
+        key = F.coalesce(F.regexp_extract(key, r"^[ \t]*(-?\d*(?:\.\d*)?)", 1).try_cast("double"), F.lit(0.0))
+    return key, "r" in opts
 
 
 def _sort(s: Stream, argv: list[str]) -> Stream:
-    flags, _ = _flags(argv, "kt")
-    key = F.col("line")
-    if "k" in flags:
-        m = re.match(r"(\d+)", str(flags["k"]))
-        parts = F.split("line", re.escape(str(flags["t"])) if "t" in flags else r"\s+")
-        key = F.coalesce(F.get(parts, F.lit(int(m[1]) - 1)), F.lit(""))
-    if "f" in flags:
-        key = F.upper(key)
-    if "n" in flags:
-        key = F.coalesce(F.regexp_extract(key, r"^\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double"), F.lit(0.0))
-    rows = s.rows
+    flags, rest = _flags(argv, "sort")
+    s = _open(s, rest)
+    specs = str(flags["k"]).split("\n") if "k" in flags else [""]
+    found = [_sort_key(x, flags) for x in specs]
+    base = sum(c.startswith("_k") for c in s.rows.columns)
+    names = [f"_k{base + i}" for i in range(len(found))]
+    order = [(n, down) for n, (_, down) in zip(names, found, strict=True)]
     if "u" in flags:
-        rows = rows.groupBy(key.alias("_key")).agg(F.min_by("line", "line_no").alias("line"), F.min("line_no").alias("line_no")).select("line_no", "line")
-    down = "r" in flags
-    return Stream(rows, (key.desc() if down else key.asc(), F.col("line").desc() if down else F.col("line").asc()))
+        if any(down for _, down in s.order):
+            s = numbered(s)
+        first = F.struct(*s.keys)
+        rows = s.rows.withColumns(dict(zip(names, [k for k, _ in found], strict=True)))
+        rows = rows.groupBy(*names).agg(F.min_by("line", first).alias("line"), F.min("line_no").alias("line_no"))
+        return Stream(rows, tuple(order), True, name=s.name, files=s.files)
+    rows = s.rows.withColumns(dict(zip(names, [k for k, _ in found], strict=True)))
+    if "s" in flags:
+        return replace(s, rows=rows, order=(*order, *s.order), grouped=False, raw=False, search=False)
+    if names and not (specs == [""] and not set(flags) & set("bfn")):
+        last = f"_k{base + len(names)}"
+        rows = rows.withColumn(last, F.col("line"))
+        order.append((last, "r" in flags))
+    return replace(s, rows=rows, order=tuple(order), grouped=True, raw=False, search=False)
 
 
 def _uniq(s: Stream, argv: list[str]) -> Stream:
-    flags, _ = _flags(argv, "")
-    if s.order is not None:  # equal lines are neighbours
-        groups = s.rows.groupBy("line").agg(F.count("*").alias("_n"), F.min("line_no").alias("line_no"))
+    flags, rest = _flags(argv, "uniq")
+    s = _open(s, rest)
+    if s.grouped and "i" not in flags:
+        groups = s.rows.groupBy("line", *s.keys).agg(F.count("*").alias("_n"))
+        if "line_no" not in s.keys:
+            groups = groups.withColumn("line_no", F.lit(0).cast("bigint"))
+        out = replace(s, rows=groups, raw=False, search=False)
     else:
-        rows = s.rows.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
-        last = rows.groupBy("_block").agg(F.max_by("line", "line_no").alias("_last"))
-        before = last.select("_block", F.lag("_last").over(Window.orderBy("_block")).alias("_edge"))
-        w = Window.partitionBy("_block").orderBy("line_no")
-        lagged = rows.join(before, "_block").withColumn("_prev", F.when(F.row_number().over(w) == 1, F.col("_edge")).otherwise(F.lag("line").over(w)))
-        starts = lagged.where(~F.col("line").eqNullSafe(F.col("_prev"))).select("line_no", "line")
-        if not {"c", "d", "u"} & set(flags):
-            return replace(s, rows=starts)
-        raise UnsupportedPipeline("uniq -c, -d and -u: after sort")
+        out = _runs(s, F.lower("line") if "i" in flags else F.col("line"))
+    rows = out.rows
     if "d" in flags:
-        groups = groups.where("_n > 1")
+        rows = rows.where("_n > 1")
     if "u" in flags:
-        groups = groups.where("_n = 1")
-    line = F.concat_ws(" ", F.lpad(F.col("_n").cast("string"), 7, " "), "line") if "c" in flags else F.col("line")
-    return replace(s, rows=groups.select("line_no", line.alias("line")))
+        rows = rows.where("_n = 1")
+    if "c" in flags:
+        rows = rows.withColumn("line", F.concat_ws(" ", F.lpad(F.col("_n").cast("string"), 7, " "), "line"))
+    return replace(out, rows=rows.drop("_n"), grouped=not {"c"} & set(flags) and out.grouped)
+
+
+def _runs(s: Stream, key: Column) -> Stream:
+    """Runs of neighbours with one key: the first line and ``_n``.  Neighbours
+    are compared within blocks of places; a row a block tells the next its last key."""
+    s = numbered(s)
+    rows = s.rows.withColumn("_key", key).withColumn("_block", F.floor((F.col("nr") - 1) / _PLACES))
+    last = rows.groupBy("_block").agg(F.max_by("_key", "nr").alias("_last"))
+    edge = last.select((F.col("_block") + 1).alias("_block"), F.col("_last").alias("_edge"))
+    w = Window.partitionBy("_block").orderBy("nr")
+    marked = rows.join(edge, "_block", "left").withColumn("_prev", F.when(F.row_number().over(w) == 1, F.col("_edge")).otherwise(F.lag("_key").over(w)))
+    marked = marked.withColumn("_new", F.when((F.col("nr") == 1) | ~F.col("_key").eqNullSafe(F.col("_prev")), 1).otherwise(0))
+    starts = marked.groupBy("_block").agg(F.sum("_new").alias("_s"))
+    offsets = starts.select("_block", (F.sum("_s").over(Window.orderBy("_block")) - F.col("_s")).alias("_o"))
+    run = marked.withColumn("_in", F.sum("_new").over(w)).join(offsets, "_block").withColumn("_run", F.col("_in") + F.col("_o"))
+    out = run.groupBy("_run").agg(F.min_by(F.struct("line_no", "line"), "nr").alias("_f"), F.count("*").alias("_n"))
+    return replace(s, rows=out.select("_run", "_n", "_f.line_no", "_f.line"), order=(("_run", False),), grouped=False, raw=False, search=False)
+
+
+def _ranges(text: str) -> list[tuple[int, int]]:
+    out = []
+    for part in text.split(","):
+        m = re.fullmatch(r"(\d*)(-?)(\d*)", part)
+        if not m or not (m[1] or m[3]) or m[1] == "0" or m[3] == "0":
+            raise UnsupportedPipeline(f"cut: {text}")
+        low = int(m[1] or 1)
+        out.append((low, int(m[3]) if m[3] else (1 << 30 if m[2] else low)))
+    merged: list[tuple[int, int]] = []
+    for low, high in sorted(out):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    return merged
 
 
 def _cut(s: Stream, argv: list[str]) -> Stream:
-    flags, _ = _flags(argv, "dfc")
-    m = re.fullmatch(r"(\d*)(-?)(\d*)", str(flags.get("f", flags.get("c", ""))))
-    if not m or not (m[1] or m[3]):
-        raise UnsupportedPipeline("cut: one range")
-    low = int(m[1] or 1)
-    high = int(m[3]) if m[3] else (1 << 30 if m[2] else low)
+    flags, rest = _flags(argv, "cut")
+    s = _open(s, rest)
+    if sum(k in flags for k in "fcb") != 1:
+        raise UnsupportedPipeline("cut: one of -f and -c")
+    if "b" in flags:
+        raise UnsupportedPipeline("cut -b")
+    picked = _ranges(str(flags.get("f", flags.get("c", ""))))
     if "c" in flags:
-        return replace(s, rows=s.rows.withColumn("line", F.substring("line", low, high - low + 1)))
+        return s.kept(F.concat(*[F.substring("line", low, high - low + 1) for low, high in picked]), raw=False, search=False)
     delim = str(flags.get("d", "\t"))
-    cut = F.array_join(F.slice(F.split("line", re.escape(delim)), low, high - low + 1), delim)
+    if len(delim) != 1:
+        raise UnsupportedPipeline("cut -d: one character")
+    parts = F.split("line", patterns.plain(delim))
+    cut = F.array_join(F.concat(*[F.slice(parts, low, high - low + 1) for low, high in picked]), delim)
     whole = F.col("line").contains(delim)
-    rows = s.rows.where(whole) if "s" in flags else s.rows
-    return replace(s, rows=rows.withColumn("line", F.when(whole, cut).otherwise(F.col("line"))))
+    out = replace(s, rows=s.rows.where(whole)) if "s" in flags else s
+    return out.kept(F.when(whole, cut).otherwise(F.col("line")), raw=False, search=False)
 
 
 def _set(text: str) -> str:
-    text = text.replace("\\n", "\n").replace("\\t", "\t")
-    names = {"[:upper:]": "A-Z", "[:lower:]": "a-z", "[:digit:]": "0-9", "[:space:]": " \t\n\r\v\f"}
-    for k, v in names.items():
-        text = text.replace(k, v)
-    return re.sub(r"(.)-(.)", lambda m: "".join(chr(c) for c in range(ord(m[1]), ord(m[2]) + 1)), text)
+    out, i = [], 0
+    names = {"upper": "A-Z", "lower": "a-z", "digit": "0-9", "alpha": "A-Za-z", "alnum": "0-9A-Za-z", "space": "\t-\r ", "blank": "\t ", "punct": "!-/:-@[-`{-~"}
+    text = re.sub(r"\[:(\w+):\]", lambda m: names.get(m[1], m[0]), text)
+    while i < len(text):
+        c = text[i]
+        if c == "\\" and i + 1 < len(text):
+            i += 1
+            c = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a", "b": "\b"}.get(text[i], text[i])
+        elif i + 2 < len(text) and text[i + 1] == "-":
+            if ord(c) > ord(text[i + 2]):
+                raise UnsupportedPipeline(f"tr: range {text[i : i + 3]}")
+            out += map(chr, range(ord(c), ord(text[i + 2]) + 1))
+            i += 3
+            continue
+        out.append(c)
+        i += 1
+    return "".join(out)
 
 
 def _tr(s: Stream, argv: list[str]) -> Stream:
-    flags, rest = _flags(argv, "")
+    flags, rest = _flags(argv, "tr")
     sets = [_set(x) for x in rest]
+    wanted = 1 if "d" in flags and "s" not in flags else 2
+    if not sets or len(sets) > 2 or ("s" not in flags and len(sets) != wanted) or ("d" in flags and "s" in flags and len(sets) != 2):
+        raise UnsupportedPipeline("tr: sets")
+    other = bool({"c", "C"} & set(flags))
+    # line feeds must stay: out of the sets, or in the set whose complement is meant
+    if any("\n" in x for x in sets[other:]) or other and "\n" not in sets[0]:
+        raise UnsupportedPipeline("tr: line feeds have to stay")
+
+    def among(chars: str, other: bool) -> str:
+        body = re.sub(r"([\\\]\[^&-])", r"\\\1", chars)
+        return f"[{'^' if other else ''}{body}]" if chars else ("." if other else "(?!)")
+
     line = F.col("line")
     if "d" in flags:
-        line = F.translate(line, sets[0], "")
-    elif "s" in flags and len(sets) == 1:
-        line = F.regexp_replace(line, f"([{re.escape(sets[0])}])\\1+", "$1")
-    else:
-        line = F.translate(line, sets[0], (sets[1] + sets[1][-1] * len(sets[0]))[: len(sets[0])])
-    return replace(s, rows=s.rows.withColumn("line", line))
+        line = F.regexp_replace(line, among(sets[0], True), "") if other else F.translate(line, sets[0], "")
+    elif len(sets) == 2:
+        if not sets[1]:
+            raise UnsupportedPipeline("tr: an empty second set")
+        if other:
+            last = sets[1][-1]
+            line = F.regexp_replace(line, among(sets[0], True), "\\" + last if last in "\\$" else last)
+        else:
+            line = F.translate(line, sets[0], (sets[1] + sets[1][-1] * len(sets[0]))[: len(sets[0])])
+    if "s" in flags:
+        squeezed = among(sets[-1], other and len(sets) == 1)
+        line = F.regexp_replace(line, f"({squeezed})\\1+", "$1")
+    return s.kept(line, raw=False, search=False)
 
 
 def _sed(s: Stream, argv: list[str]) -> Stream:
-    flags, rest = _flags(argv, "")
-    script = rest[0] if rest else ""
-    if m := re.fullmatch(r"s(.)((?:\\.|(?!\1).)*)\1((?:\\.|(?!\1).)*)\1([gI]*)", script):
-        pattern = m[2] if "E" in flags else re.sub(r"\\([(){}+?|])|([(){}+?|])", lambda x: x[1] or "\\" + x[2], m[2])
-        text = re.sub(r"\\(\d)", r"$\1", m[3].replace("$", "\\$")).replace("&", "$0")
-        pattern = ("(?iu)" if "I" in m[4] else "") + pattern
-        line = F.regexp_replace("line", pattern, text) if "g" in m[4] else F.regexp_replace("line", f"^(?s)(.*?)(?:{pattern})", "$1" + text) if "$" not in text else None
-        if line is None:
+    flags, rest = _flags(argv, "sed")
+    if "e" in flags:
+        scripts = str(flags["e"]).split("\n")
+    else:
+        scripts, rest = rest[:1], rest[1:]
+    s = replace(_open(s, rest), search=False)
+    for script in scripts or [""]:
+        s = _sed_one(s, script.strip(), flags)
+    return s
+
+
+def _sed_one(s: Stream, script: str, flags: dict) -> Stream:
+    extended = bool({"E", "r"} & set(flags))
+
+    def java(p: str) -> str:
+        try:
+            return patterns.posix(p, extended)
+        except ValueError as e:
+            raise UnsupportedPipeline(str(e)) from e
+
+    if (m := re.fullmatch(r"s([^\w\s\\])((?:\\.|(?!\1).)*)\1((?:\\.|(?!\1).)*)\1([gIi]*)", script)) and "n" not in flags:
+        body = java(m[2].replace("\\" + m[1], m[1]) if m[1] not in ".*[]^$+?(){}|" else m[2])
+        body = ("(?iu)" if set(m[4]) & set("Ii") else "") + body
+        text = ""
+        for t in re.findall(r"\\.|[^\\]", m[3]):
+            if t == "&":
+                text += "$0"
+            elif re.fullmatch(r"\\\d", t):
+                text += "$" + t[1]
+            else:
+                c = {"\\n": "\n", "\\t": "\t"}.get(t, t[-1])
+                text += "\\" + c if c in "\\$" else c
+        if "g" in m[4]:
+            return s.kept(F.regexp_replace("line", body, text), raw=False)
+        # the first match: what stands before it, the replaced match, what is left
+        if "$" in text.replace("\\$", "").replace("$0", "") or re.search(r"\(\?[=!<]|\\b|(?<!\\)[\^$]", body):
+            if body.lstrip("(?iu)").startswith("^") or body.endswith("$"):
+                return s.kept(F.regexp_replace("line", body, text), raw=False)  # at most one match
             raise UnsupportedPipeline("sed: groups need the g flag")
-        return replace(s, rows=s.rows.withColumn("line", line))
-    if m := re.fullmatch(r"(\d+)(?:,(\d+))?p", script):
-        if "n" in flags:
-            return replace(s, rows=numbered(s).where(F.col("nr").between(int(m[1]), int(m[2] or m[1]))).drop("nr"))
-    if (m := re.fullmatch(r"/(.*)/([pd])", script)) and (("n" in flags) == (m[2] == "p")):
-        hit = F.col("line").rlike(m[1])
-        return replace(s, rows=s.rows.where(hit if m[2] == "p" else ~hit))
-    if m := re.fullmatch(r"(\d+)q", script):
-        return _head(s, ["-n", m[1]])
+        body = body.removeprefix("(?iu)")
+        fold = "(?iu)" if set(m[4]) & set("Ii") else ""
+        return s.kept(F.regexp_replace("line", f"{fold}^(.*?)(?<whole>{body})", "$1" + text.replace("$0", "${whole}")), raw=False)
+    if (m := re.fullmatch(r"(\d+)(?:,(\d+|\$))?([pd])", script)) and (("n" in flags) == (m[3] == "p")):
+        s = numbered(s)
+        low = _number(m[1])
+        inside = F.col("nr") >= low if m[2] == "$" else F.col("nr").between(low, max(low, int(m[2] or m[1])))
+        out = replace(s, rows=s.rows.where(inside if m[3] == "p" else ~inside), raw=False)
+        return out if "nr" in out.keys else replace(out, rows=out.rows.drop("nr"))
+    if (m := re.fullmatch(r"/((?:\\.|[^/\\])*)/(I?)([pd])", script)) and (("n" in flags) == (m[3] == "p")):
+        hit = F.col("line").rlike(("(?iu)" if m[2] else "") + java(m[1].replace("\\/", "/")))
+        return replace(s, rows=s.rows.where(hit if m[3] == "p" else ~hit), raw=False)
+    if (m := re.fullmatch(r"(\d+)q", script)) and "n" not in flags:
+        return replace(s, rows=s.rows.orderBy(*s.by()).limit(_number(m[1])), raw=False)
+    if script == "$p" and "n" in flags:
+        return replace(s, rows=s.rows.orderBy(*s.by(backwards=True)).limit(1), raw=False)
     raise UnsupportedPipeline(f"sed: {script}")
 
 
-def compile_pipeline(text: str, lines: DataFrame) -> Stream:
-    """The stream of a pipeline over ``lines`` (line_no, line)."""
-    s = Stream(lines.select("line_no", "line"))
-    run = {"head": _head, "tail": _tail, "wc": _wc, "sort": _sort, "uniq": _uniq, "cut": _cut, "tr": _tr, "sed": _sed, "awk": _awk, "cat": lambda s, _: s}
+def _cat(s: Stream, argv: list[str]) -> Stream:
+    flags, rest = _flags(argv, "cat")
+    s = _open(s, rest)
+    if "n" in flags:
+        s = numbered(s)
+        out = s.kept(F.concat(F.lpad(F.col("nr").cast("string"), 6, " "), F.lit("\t"), "line"), raw=False)
+        return out if "nr" in out.keys else replace(out, rows=out.rows.drop("nr"))
+    return replace(s, search=False)
+
+
+def _names(s: Stream, names: list[str]) -> Stream:
+    rows = s.rows.sparkSession.createDataFrame(list(enumerate(names)), "line_no bigint, line string")
+    return Stream(rows, name=s.name, files=s.files)
+
+
+def _ls(s: Stream, argv: list[str]) -> Stream:
+    _, rest = _flags(argv, "ls")
+    there = sorted(s.files or {s.name: None})
+    rest = [r for r in rest if r not in (".", "./")]
+    if missing := [r for r in rest if r not in there]:
+        raise UnsupportedPipeline(f"{missing[0]}: no such file")
+    return _names(s, sorted(rest) or there)
+
+
+def _find(s: Stream, argv: list[str]) -> Stream:
+    """``find [.] [-type f] [-name|-iname pattern] [-maxdepth n]`` over the catalogue's names."""
+    there = [f"./{n}" for n in sorted(s.files or {s.name: None})]
+    i, dirs = 0, [] if "-type" in argv else ["."]
+    while i < len(argv):
+        a = argv[i]
+        if a in (".", "./"):
+            i += 1
+            continue
+        if a not in ("-type", "-name", "-iname", "-maxdepth") or i + 1 >= len(argv):
+            raise UnsupportedPipeline(f"find: {a}")
+        value = argv[i + 1]
+        if a == "-type":
+            if value not in "fd":
+                raise UnsupportedPipeline(f"find -type {value}")
+            there, dirs = (there, []) if value == "f" else ([], ["."])
+        elif a == "-maxdepth":
+            there = there if _number(value) else []
+        else:
+            low = str.lower if a == "-iname" else str
+            there = [n for n in there if fnmatch.fnmatchcase(low(n[2:]), low(value))]
+            dirs = [n for n in dirs if fnmatch.fnmatchcase(n, value)]
+        i += 2
+    return _names(s, dirs + there)
+
+
+_RUN = {"head": _head, "tail": _tail, "wc": _wc, "sort": _sort, "uniq": _uniq, "cut": _cut, "tr": _tr, "sed": _sed, "awk": _awk, "cat": _cat, "ls": _ls, "find": _find}
+
+
+def compile_pipeline(text: str, lines: DataFrame, files: dict[str, DataFrame] | None = None) -> Stream:
+    """The stream of a pipeline over ``lines`` (line_no, line), or over the
+    tables that its first program names if ``files`` is given."""
+    s = Stream(lines.select("line_no", "line"), raw=True, files=files or {})
     for program, *argv in parse(text):
-        s = _grep(s, argv, program) if program in ("rg", "grep") else run[program](s, argv)
+        if program in ("rg", "grep"):
+            s = _grep(s, argv, program)
+        else:
+            s = replace(_RUN[program](s, argv), search=False)
+        s = replace(s, files={})  # later stages read the stream
     return s
 
 
-def run_pipeline(text: str, lines: DataFrame) -> DataFrame:
+def run_pipeline(text: str, lines: DataFrame, files: dict[str, DataFrame] | None = None) -> DataFrame:
     """The lines of a pipeline's output, in its order."""
-    s = compile_pipeline(text, lines)
+    s = compile_pipeline(text, lines, files)
     return s.rows.orderBy(*s.by()).select("line")
+
+
+@dataclass(frozen=True)
+class Result:
+    """What a caller of one pipeline gets."""
+
+    command: str
+    stdout: str
+    stderr: str
+    exit_code: int
+    timed_out: bool
+    truncated: bool
+    information_lines: list[str]
+
+    def to_payload(self) -> str:
+        return json.dumps(self.__dict__, ensure_ascii=False)
+
+
+def execute(text: str, lines: DataFrame, max_tokens: int = 4096, files: dict[str, DataFrame] | None = None) -> Result:
+    """Run a pipeline and keep at most 3 characters a token of its output.
+
+    exit_code: 0, 1 if the last program is a search without a hit, -2 if the
+    text is refused.  Only as many lines as fit are brought to the driver.
+    """
+    try:
+        s = compile_pipeline(text, lines, files)
+    except UnsupportedPipeline as e:
+        return Result(text, "", f"validation error: {e}", -2, False, False, [])
+    cap = 3 * max_tokens
+    # a line has a character at least, its line feed
+    found = [r[0] for r in s.rows.orderBy(*s.by()).limit(cap + 1).select(F.left("line", F.lit(cap + 1))).collect()]
+    none = not found or (s.search and found == ["0"])
+    out = "".join(x + "\n" for x in found)
+    truncated = len(out) > cap
+    if truncated:
+        out = f"{out[:cap]}\n[... output truncated at {max_tokens} tokens]"
+    return Result(text, out, "", int(s.search and none), False, truncated, [x for x in out.split("\n") if x.strip()])

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-LINES_A_DOC = 100_000
-
 
 def corpus_lines(docs: DataFrame) -> DataFrame:
-    """line_no and line of every line of ``docs``; line_no orders documents, then lines."""
-    exploded = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
-    return exploded.select((F.col("doc_id") * LINES_A_DOC + F.col("_pos")).alias("line_no"), "line")
+    """line_no and line of every line of ``docs``; line_no is the struct (doc_id, pos), which orders documents, then lines."""
+    exploded = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return exploded.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("pos").cast("bigint").alias("pos")).alias("line_no"), "line")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = False) -> DataFrame:
