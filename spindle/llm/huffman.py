@@ -145,7 +145,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str, end_i
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             for i, texts in text_batches(b.column(1).to_pylist()):
-                parts = [x + end for x in enc.encode(texts)]
+                parts = [x.tobytes() + end for x in enc.encode(texts)]
                 sizes = [len(x) // enc.dtype.itemsize for x in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([at], pa.int32()), pa.array([segment], pa.int64()), pa.array([b.column(0).slice(i, len(parts)).to_pylist()], pa.list_(b.column(0).type)),

@@ -174,13 +174,13 @@ def pieces(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str, end_
 
     def cut(batches):
         enc, task = encoder(tokenizer, kind), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
+        end = np.array([end_id], "<u4")
         seen = np.zeros(size + 1, np.int64)
         for b in batches:
             for i, texts in text_batches(b.column(1).to_pylist()):
                 rows, piece, start, ids, crc = [], [], [], [], []
                 for k, x in enumerate(enc.encode(texts)):
-                    x = np.frombuffer(x + end, enc.dtype).astype("<u4")
+                    x = np.concatenate([x.astype("<u4"), end])
                     first = len(x) % size or size
                     for p, at in enumerate([0, *range(first, len(x), size)]):
                         part = x[at : at + (size if p else first)].tobytes()
