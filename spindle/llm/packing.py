@@ -5,14 +5,18 @@ that may be shorter.  Piece lengths are integers up to the sequence length, so
 the whole packing problem is the table "pieces of each length": a bounded size
 whatever the corpus.  The driver solves it:
 
-* bins are completed around the longest piece left.  All undominated fillings
-  of the room that it leaves are enumerated (a filling is dominated by one that
-  exchanges a piece for a longer one and still fits), fullest first;
-* a filling is used for as many bins as the counts allow at once;
+* bins are completed around the longest piece left.  The undominated fillings
+  of the room that it leaves are enumerated fullest first, longer pieces first
+  (a filling is dominated if some of its pieces, or none, could be exchanged
+  for one longer piece that is still there and fits);
+* a filling is used for as many bins as the counts allow, or as a later choice
+  for one bin;
 * best-fit decreasing gives the first incumbent.  A branch whose waste so far
   would need as many bins as the incumbent is pruned; a packing with
-  ceil(tokens / length) bins is proved best and ends the search.  The search
-  is any-time: after ``NODES`` fillings the incumbent is used.
+  ceil(tokens / length) bins is proved best and ends the search;
+* branches are taken in order of how often they leave the first choice.  The
+  search is complete but for one bound, ``STEPS`` partial fillings looked at:
+  after that many the incumbent is used.
 
 Pieces then get their places by rank among the pieces of their length; ranks
 come from (task, rank in the task) of the written piece table, so no length,
@@ -25,6 +29,8 @@ repeated with one doc_id are packed each.  An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,9 @@ from pyspark.sql import functions as F
 from spindle.llm.store import Workspace
 from spindle.llm.subword import encoder, text_batches
 
-NODES = 20_000
-MOST_ITEMS = 6
+STEPS = 200_000
+#: Steps that a new bin counts for: a table of the sums that the lengths left can reach.
+_BIN = 100
 
 
 def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -74,51 +81,58 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[tuple[i
     return [(items, k) for bins in rooms.values() for items, k in bins.items()]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, budget: list[int], most: int = MOST_ITEMS, wanted: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first; ties prefer long pieces.
-    ``lengths``: descending lengths with a positive count."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    present = set(lengths)
-    bounds = np.array(lengths[::-1])
-
-    def go(left: int, below: int, chosen: tuple[int, ...]) -> bool:
-        budget[0] -= 1
-        if left in present and left <= below and counts[left] > chosen.count(left):
-            found.append((0, (*chosen, left)))
-            return len(found) >= wanted
-        if budget[0] <= 0:
-            return True
-        upto = int(np.searchsorted(bounds, min(left, below), side="right"))
-        added = False
-        for i in range(upto - 1, -1, -1):
-            n = int(bounds[i])
-            if counts[n] <= chosen.count(n):
-                continue
-            added = True
-            if len(chosen) + 1 < most and n < left:
-                if go(left - n, n, (*chosen, n)):
-                    return True
-            else:
-                found.append((left - n, (*chosen, n)))
-            if n * (most - len(chosen)) < left and found:
-                break  # even the most pieces of this length leave room that others fill
-        if not added and chosen:
-            found.append((left, chosen))
-        return False
-
-    go(room, room, ())
-    found.sort(key=lambda x: (x[0], [-n for n in x[1]]))
-    kept: list[tuple[int, tuple[int, ...]]] = []
-    for waste, items in found:
-        if not any(len(o) == len(items) and w <= waste and o != items and all(a >= b for a, b in zip(o, items, strict=True)) for w, o in kept):
-            if (waste, items) not in kept:
-                kept.append((waste, items))
-        if len(kept) >= wanted:
-            break
-    return [items for _, items in kept]
-
-
-def solve(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def fillings(counts: dict[int, int], room: int, most_waste: int | None = None, steps: list[int] | None = None) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` with at most ``most_waste`` left, fullest
+    first, of equal ones those with longer pieces first.  ``steps``: how many
+    partial fillings may be looked at, counted down."""
+    steps = [1 << 62] if steps is None else steps
+    steps[0] -= _BIN
+    lengths = sorted((n for n, k in counts.items() if k and n <= room), reverse=True)
+    whole = (1 << room + 1) - 1
+    there = sum(1 << n for n in lengths)
+    # bit s of reach[i]: some pieces of lengths[i:] have the sum s
+    reach = [1]
+    for n in reversed(lengths):
+        bits, left, step = reach[-1], min(counts[n], room // n), 1
+        while left and bits != whole:
+            bits = (bits | bits << min(step, left) * n) & whole
+            left -= min(step, left)
+            step *= 2
+        reach.append(bits)
+    reach.reverse()
+
+    def exact(i: int, left: int, waste: int, chosen: tuple[int, ...], spare: int, several: int, seen: int) -> Iterator[tuple[int, ...]]:
+        """``spare``: lengths still there; ``several`` and ``seen``: sums of two
+        or more, and of any, of the chosen pieces (bit sets)."""
+        steps[0] -= 1
+        if not left:
+            one = sum(1 << n for n in set(chosen))
+            # none of the pieces, one or several go for one that is longer by at most the waste
+            if not (spare & (2 << waste) - 2 or any(spare & (several | one) << gap for gap in range(1, waste + 1))):
+                yield chosen
+            return
+        for j in range(i, len(lengths)):
+            if not reach[j] >> left & 1 or steps[0] <= 0:
+                return
+            n = lengths[j]
+            options, most = [], min(counts[n], left // n)
+            s, t = several, seen
+            for k in range(1, most + 1):
+                s, t = s | (t ^ 1) << n, t | t << n
+                now = spare ^ (1 << n) if k == counts[n] else spare
+                if s & now:
+                    break  # pieces that a longer one could replace: whatever follows is shorter
+                if reach[j + 1] >> left - k * n & 1:
+                    options.append((k, now, s, t))
+            for k, now, s, t in reversed(options):
+                yield from exact(j + 1, left - k * n, waste, chosen + (n,) * k, now, s, t)
+
+    for waste in range(min(room, room if most_waste is None else most_waste) + 1):
+        if reach[0] >> room - waste & 1:
+            yield from exact(0, room - waste, waste, (), there, 0, 1)
+
+
+def solve(counts: dict[int, int], size: int, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a bin, bins with them) that hold all pieces in few bins."""
     counts = {n: k for n, k in counts.items() if k}
     if not counts:
@@ -127,43 +141,47 @@ def solve(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[t
     least = -(-total // size)
     best = best_fit_decreasing(counts, size)
     bins = sum(k for _, k in best)
-    if bins == least:
-        return best
-    budget = [nodes]
-
-    def complete(left: dict[int, int], made: list[tuple[tuple[int, ...], int]], used: int, waste: int) -> None:
-        """Depth first around the longest piece left; replaces the incumbent when fewer bins do."""
-        nonlocal best, bins
-        path: list[tuple[dict, list, int, int]] = [(left, made, used, waste)]
-        while path and bins > least:
-            left, made, used, waste = path.pop()
-            if used + -(-sum(n * k for n, k in left.items()) // size) >= bins:
+    deviations, cut, budget = 0, True, [steps]
+    while cut and bins > least and budget[0] > 0:
+        cut = False
+        # (pieces left, bins made as a linked list, their number, their waste, deviations left)
+        path: list[tuple[dict[int, int], tuple | None, int, int, int]] = [(counts, None, 0, 0, deviations)]
+        while path and bins > least and budget[0] > 0:
+            left, made, used, waste, spare = path.pop()
+            allowed = (bins - 1) * size - total - waste
+            if allowed < 0:
                 continue
             if not left:
-                best, bins = made, used
+                best, bins = [], used
+                while made:
+                    best.append(made[0])
+                    made = made[1]
                 continue
-            if budget[0] <= 0:
-                rest = best_fit_decreasing(left, size)
-                if used + sum(k for _, k in rest) < bins:
-                    best, bins = made + rest, used + sum(k for _, k in rest)
-                return
             top = max(left)
-            left = {n: k - (n == top) for n, k in left.items() if k - (n == top)}
-            lengths = sorted(left, reverse=True)
-            own = [min(budget[0], 400)]
-            before = own[0]
-            options = fillings(left, lengths, size - top, own) if size > top else []
-            budget[0] -= max(1, before - own[0])
-            for items in reversed(options[:3] or [()]):
-                need: dict[int, int] = {top: 1}
-                for n in items:
-                    need[n] = need.get(n, 0) + 1
-                have = left | {top: left.get(top, 0) + 1}
-                times = min(have[n] // k for n, k in need.items())
-                rest = {n: k - times * need.get(n, 0) for n, k in have.items() if k - times * need.get(n, 0)}
-                path.append((rest, [*made, ((top, *items), times)], used + times, waste + times * (size - top - sum(items))))
-
-    complete(counts, [], 0, 0)
+            others = dict(left)
+            others[top] -= 1
+            options, once = [], []
+            for items in fillings(others, size - top, allowed, budget):
+                need = Counter((top, *items))
+                times = min(left[n] // k for n, k in need.items())
+                room = size - top - sum(items)
+                if room:
+                    times = max(1, min(times, allowed // room))
+                options.append((need, items, times, room))
+                if times > 1:
+                    once.append((need, items, 1, room))
+                if len(options) > spare:
+                    cut = True  # there may be more
+                    break
+            children = []
+            for k, (need, items, times, room) in enumerate(options + once):
+                if k > spare:
+                    cut = True
+                    break
+                rest = {n: c - times * need.get(n, 0) for n, c in left.items()}
+                children.append(({n: c for n, c in rest.items() if c}, (((top, *items), times), made), used + times, waste + times * room, spare - k))
+            path += reversed(children)
+        deviations += 1
     return best
 
 

@@ -217,6 +217,45 @@ def test_packing(spark, odd, odd_rows):
     assert packing.pack(spark, odd.limit(0), BYTE, "spaced", 2).count() == 0
 
 
+def fewest_bins(items, size):
+    """By trying every place for every piece."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins) if b + items[i] <= size}.values():
+            bins[k] += items[i]
+            go(i + 1, bins)
+            bins[k] -= items[i]
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bins_are_as_few_as_can_be():
+    rng = random.Random(3)
+    for _ in range(400):
+        size = rng.choice([10, 20, 50, 100])
+        items = [rng.randint(1, rng.choice([size, size // 2, size // 3])) for _ in range(rng.randint(1, 13))]
+        assert sum(k for _, k in packing.solve(dict(Counter(items)), size)) == fewest_bins(items, size)
+
+
+def test_bins_of_many_short_pieces():
+    assert sum(k for _, k in packing.solve({28: 50, 8: 450}, 100)) == 50
+
+
+def test_fillings_are_undominated():
+    assert list(packing.fillings({8: 450}, 72)) == [(8,) * 9]
+    assert list(packing.fillings({28: 49, 8: 450}, 72)) == [(28, 28, 8, 8), (8,) * 9]
+    assert list(packing.fillings({30: 1, 20: 2, 10: 2}, 40)) == [(30, 10), (20, 20)]
+    assert list(packing.fillings({}, 5)) == [()] and list(packing.fillings({3: 1}, 0)) == [()]
+
+
 def test_bins_hold_all():
     rng = random.Random(4)
     for n, top in ((0, 5), (30, 20), (200, 20), (8, 20)):
