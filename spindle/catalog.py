@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from spindle.functions import answers, scorers
 from spindle.operators import balance, groups, index, losses, metrics, rows, tokens
 from spindle.plans.shell import run_pipeline
+from spindle.sources.scratch import shared_dir
 from spindle.sources.tables import corpus_lines
 from spindle.streaming import queue
 
@@ -38,7 +40,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 # --- text pipelines over the lines of documents ---------------------------------
 
 _LINES = """lines AS (
-  SELECT doc_id * 100000 + i - 1 AS line_no, parts[i] AS line
+  SELECT doc_id, i - 1 AS pos, row_number() OVER (ORDER BY doc_id, i) - 1 AS line_no, parts[i] AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) p,
        LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i))"""
 
@@ -100,7 +102,7 @@ _pipeline(
 _pipeline("awk_field", "awk '/License/ {print $2}' corpus.jsonl", r"SELECT coalesce(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')[2], '') AS line FROM lines WHERE contains(line, 'License')")
 _pipeline("awk_total", "awk '{s += NF} END {print s}' corpus.jsonl", r"SELECT CAST(sum(len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> ''))) AS VARCHAR) AS line FROM lines")
 
-_TERMS = r"posted AS (SELECT line_no, unnest(list_distinct(list_filter(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), lambda x: len(x) >= 2))) AS term FROM lines)"
+_TERMS = r"posted AS (SELECT line_no, unnest(list_distinct(list_filter(regexp_extract_all(translate(replace(lower(line), 'ß', 'ss'), 'µ', 'μ'), '[\p{L}\p{N}]+'), lambda x: len(x) >= 2))) AS term FROM lines)"
 
 
 @register("index_terms", f"WITH {_LINES}, {_TERMS} SELECT term, count(*) AS df FROM posted GROUP BY term")
@@ -108,10 +110,45 @@ def index_terms(spark: SparkSession, d: str) -> DataFrame:
     return index.terms(index.postings(corpus_lines(_t(spark, d, "documents"))))
 
 
-@register("index_search", f"WITH {_LINES} SELECT line_no, line FROM lines WHERE contains(line, 'icense, vers')")
+#: Folders of the indexes built in this process, by session and source.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> index.Index:
+    """The corpus' written index: built once a session, as an index is."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.build(corpus_lines(_t(spark, d, "documents")), path, d)
+        _BUILT[key] = path
+    return index.Index(spark, _BUILT[key])
+
+
+@register("index_search", f"WITH {_LINES} SELECT doc_id, pos, line FROM lines WHERE contains(line, 'icensed under')")
 def FLAGSHIP(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).search("icensed under").select("line_no.doc_id", "line_no.pos", "line")
+
+
+@register("index_search_unwritten", f"WITH {_LINES} SELECT doc_id, pos, line FROM lines WHERE contains(line, 'icense, vers')")
+def index_search_unwritten(spark: SparkSession, d: str) -> DataFrame:
     lines = corpus_lines(_t(spark, d, "documents"))
-    return index.search(lines, index.postings(lines), "icense, vers")
+    return index.search(lines, index.postings(lines), "icense, vers").select("line_no.doc_id", "line_no.pos", "line")
+
+
+@register("index_estimate", f"WITH {_LINES}, {_TERMS}, t AS (SELECT term, count(*) AS df FROM posted GROUP BY term) SELECT w AS word, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM t, (VALUES ('icensed'), ('under')) v(w) WHERE contains(term, w) GROUP BY w")
+def index_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).estimate("icensed under")
+
+
+@register("index_metadata", f"WITH {_LINES}, {_TERMS}, t AS (SELECT term, count(*) AS df FROM posted GROUP BY term) SELECT (SELECT count(*) FROM lines) AS n_lines, (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) FROM lines) AS n_bytes, count(*) AS n_terms, count(*) FILTER (df = 1) AS n_singletons, CAST(sum(df) AS BIGINT) AS n_postings FROM t")
+def index_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).read("meta").select("n_lines", "n_bytes", "n_terms", "n_singletons", "n_postings")
+
+
+@register("candidate_bytes", f"WITH {_LINES}, {_TERMS} SELECT CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM lines WHERE line_no IN (SELECT line_no FROM posted WHERE contains(term, 'icensed')) AND line_no IN (SELECT line_no FROM posted WHERE contains(term, 'under'))")
+def candidate_bytes(spark: SparkSession, d: str) -> DataFrame:
+    built = _index(spark, d)
+    return index.candidate_bytes(built.read("lines"), built.candidates(built.plan("icensed under")))
 
 
 # --- answers -------------------------------------------------------------------
@@ -286,7 +323,7 @@ def rows_repeat_by_count(spark: SparkSession, d: str) -> DataFrame:
 
 @register("rows_slice", "SELECT n_nationkey AS row_id, n_name FROM nation WHERE n_nationkey >= 3 AND n_nationkey < 20 AND (n_nationkey - 3) % 4 = 0")
 def rows_slice(spark: SparkSession, d: str) -> DataFrame:
-    return rows.slice_rows(_numbered_nation(spark, d), 3, 20, 4).withColumn("row_id", F.col("row_id").cast("int"))
+    return rows.slice_rows(_numbered_nation(spark, d), 3, 20, 4).drop("place").withColumn("row_id", F.col("row_id").cast("int"))
 
 
 @register("rows_first_by_key", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
@@ -416,7 +453,8 @@ _token_query(
 @register(
     "off_policy",
     f"""WITH {_TOK}, {_D}, p AS (SELECT avg(new) AS n, avg(old) AS o, sum(new - old) AS s FROM tok WHERE mask = 1 GROUP BY response_id)
-    SELECT (SELECT round(avg(exp(-n)), 7) FROM p) AS training_ppl, (SELECT round(avg(exp(-o)), 7) FROM p) AS rollout_ppl, round(avg(old - new), 7) AS kl, round(avg(exp(d) - d - 1), 7) AS k3_kl,
+    SELECT (SELECT round(avg(exp(-n)), 7) FROM p) AS training_ppl, (SELECT round(avg(-n), 7) FROM p) AS training_log_ppl, (SELECT round(avg(-o), 7) FROM p) AS rollout_log_ppl,
+    (SELECT round(avg(n - o), 7) FROM p) AS log_ppl_gap, (SELECT round(avg(exp(o - n)), 7) FROM p) AS ppl_ratio, (SELECT round(avg(exp(-o)), 7) FROM p) AS rollout_ppl, round(avg(old - new), 7) AS kl, round(avg(exp(d) - d - 1), 7) AS k3_kl,
     round(avg(exp(2 * d)) - 1, 7) AS chi2_token, (SELECT round(avg(exp(2 * greatest(least(s, 20), -20))) - 1, 5) FROM p) AS chi2_seq FROM d WHERE mask = 1""",
 )
 def off_policy(spark: SparkSession, d: str) -> DataFrame:
@@ -455,11 +493,9 @@ def _loss(name: str, column: Callable, sql: str) -> None:
 
     @register(name, f"WITH {_TOK}, {per} SELECT {modes} FROM p")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t, out = _tokens(spark, d), None
-        for mode, label in (("token-mean", "token_mean"), ("seq-mean-token-sum", "seq_sum"), ("seq-mean-token-mean", "seq_mean")):
-            one = losses.aggregate(t, {label: column()}, mode).select(F.round(label, 7).alias(label))
-            out = one if out is None else out.crossJoin(one)
-        return out
+        modes = {"token_mean": "token-mean", "seq_sum": "seq-mean-token-sum", "seq_mean": "seq-mean-token-mean"}
+        out = losses.aggregate(_tokens(spark, d), dict.fromkeys(modes, column()), modes)
+        return out.select(*[F.round(m, 7).alias(m) for m in modes])
 
 
 for _name, (_column, _sql) in _LOSSES.items():
@@ -495,25 +531,33 @@ def score_last_number(spark: SparkSession, d: str) -> DataFrame:
     return found.where(F.col("number").isNotNull() & (F.col("number") != "."))
 
 
+_STRICT = "regexp_extract_all(right(t, 300), '#### (-?[0-9.,]+)', 1)"
+
+
 @register(
     "score_strict_number",
-    "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0.0 WHEN p_size = 7 THEN 1.0 ELSE 0.1 END::DOUBLE AS score FROM part",
+    f"""WITH x AS (SELECT doc_id, n_chars, left(text, 80) || ' #### ' || CAST(n_chars * 1000 AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN ' #### 1,234.5' ELSE '' END || right(text, CASE WHEN doc_id % 5 = 0 THEN 400 ELSE 40 END) AS t FROM documents)
+    SELECT doc_id, (CASE WHEN len({_STRICT}) = 0 THEN 0 WHEN replace({_STRICT}[-1], ',', '') = CAST(n_chars * 1000 AS VARCHAR) THEN 1 ELSE 0.1 END)::DOUBLE AS score FROM x""",
 )
 def score_strict_number(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("so 3 "), F.when(F.col("p_partkey") % 4 == 0, "## ").otherwise("#### "), F.col("p_size").cast("string"))
-    return _t(spark, d, "part").select("p_partkey", scorers.number_score(text, F.lit("7"), format_score=0.1).alias("score"))
+    truth = (F.col("n_chars") * 1000).cast("string")
+    tail = F.right("text", F.when(F.col("doc_id") % 5 == 0, 400).otherwise(40))
+    text = F.concat(F.left("text", F.lit(80)), F.lit(" #### "), truth, F.when(F.col("doc_id") % 3 == 0, " #### 1,234.5").otherwise(""), tail)
+    return _t(spark, d, "documents").select("doc_id", scorers.number_score(text, truth, format_score=0.1).alias("score"))
+
+
+_BLOCK = "regexp_extract_all(t, '(?s)<answer>(.*?)</answer>', 1)"
 
 
 @register(
     "score_tagged",
-    "SELECT p_partkey, (CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_size % 2 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 0.25 ELSE 1 END ELSE 0.1 END)::DOUBLE AS score FROM part",
+    f"""WITH x AS (SELECT doc_id, lang, left(text, 30) AS gold, text || repeat('<answer> ' || CASE WHEN lang = 'en' THEN 'The ' || upper(left(text, 30)) ELSE substr(text, 5, 30) END || '</answer>', CAST(doc_id % 13 AS BIGINT)) AS t FROM documents)
+    SELECT doc_id, (CASE WHEN len({_BLOCK}) = 0 THEN 0 WHEN array_to_string({_NORM.format(x=_BLOCK + '[-1]')}, ' ') = array_to_string({_NORM.format(x='gold')}, ' ') THEN CASE WHEN len({_BLOCK}) > 10 THEN 0.25 ELSE 1 END ELSE 0.1 END)::DOUBLE AS score FROM x""",
 )
 def score_tagged(spark: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.lit("other thing"))
-    block = F.concat(F.lit("<answer> "), said, F.lit(" </answer>"))
-    many = F.repeat(block, F.when(F.col("p_partkey") % 3 == 0, 11).otherwise(1))
-    text = F.when(F.col("p_partkey") % 5 == 0, said).otherwise(many)
-    return _t(spark, d, "part").select("p_partkey", scorers.tagged_score(text, F.array("p_name"), format_score=0.1).alias("score"))
+    said = F.when(F.col("lang") == "en", F.concat(F.lit("The "), F.upper(F.left("text", F.lit(30))))).otherwise(F.substring("text", 5, 30))
+    text = F.concat("text", F.repeat(F.concat(F.lit("<answer> "), said, F.lit("</answer>")), (F.col("doc_id") % 13).cast("int")))
+    return _t(spark, d, "documents").select("doc_id", scorers.tagged_score(text, F.array(F.left("text", F.lit(30))), format_score=0.1).alias("score"))
 
 
 @register(
@@ -547,11 +591,15 @@ def tool_outputs(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", (F.length("text") > 400).alias("is_cut"), scorers.truncated("text", 400, "middle").alias("text"), scorers.mentions("text", F.array(F.lit("LICENSED"))).alias("named"))
 
 
-@register("score_multiset_match", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.25 END::DOUBLE AS score FROM part")
+@register(
+    "score_multiset_match",
+    """WITH x AS (SELECT doc_id, string_split(left(text, 60), ' ') AS a, string_split(substr(text, 20, 60), ' ') AS b FROM documents),
+    y AS (SELECT *, list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) for x in list_distinct(a)]) AS n FROM x)
+    SELECT doc_id, round(CASE WHEN a = b THEN 1.0 ELSE n / (len(a) + len(b) - n) END, 9)::DOUBLE AS score FROM y""",
+)
 def score_multiset_match(spark: SparkSession, d: str) -> DataFrame:
-    a = F.array("p_brand", "p_type", "p_brand")
-    b = F.when(F.col("p_partkey") % 2 == 0, a).otherwise(F.array(F.col("p_brand"), F.lit("-")))
-    return _t(spark, d, "part").select("p_partkey", scorers.multiset_match(a, b).alias("score"))
+    a, b = F.split(F.left("text", F.lit(60)), " "), F.split(F.substring("text", 20, 60), " ")
+    return _t(spark, d, "documents").select("doc_id", F.round(scorers.multiset_match(a, b), 9).alias("score"))
 
 
 @register(

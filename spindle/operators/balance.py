@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_ROWS = 1_000_000
@@ -104,3 +104,41 @@ def micro_batches(rows: DataFrame, batch: str, most_tokens: int) -> DataFrame:
         return _places(list(line), len(lengths))
 
     return _per_batch(rows, batch, assign, "micro_batch")
+
+
+def grouped_partition(rows: DataFrame, batch: str, group: str, k: int) -> DataFrame:
+    """As ``partition``, but contiguous rows of one group stay together: runs of
+    equal groups are the items, their summed lengths the weights."""
+    runs = rows.select(F.col(batch).cast("bigint").alias(batch), F.col("row_id").cast("bigint").alias("row_id"), group, F.coalesce(F.col("length").cast("bigint"), F.lit(0)).alias("length"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_ROWS:
+            raise ValueError(f"a batch of {len(pdf)} rows is over the {MOST_ROWS} of this operator")
+        pdf = pdf.sort_values("row_id", kind="stable").reset_index(drop=True)
+        at = (pdf[group] != pdf[group].shift()).cumsum() - 1
+        loads = pdf["length"].groupby(at).sum().tolist()
+        pdf["part"] = at.map(dict(enumerate(_places(differencing(loads, k), len(loads)))))
+        return pdf[[batch, "row_id", "length", "part"]]
+
+    return runs.groupBy(batch).applyInPandas(run, f"{batch} bigint, row_id bigint, length bigint, part int")
+
+
+def balanced(rows: DataFrame, batch: str, k: int, mode: str = "plain", mini_batch: int | None = None, group: str | None = None) -> DataFrame:
+    """Rows with their ``part`` and ``place`` (the batch's new order: part by
+    part).  ``plain``: the whole batch in k equal parts; ``mini``: each run of
+    ``mini_batch`` rows by itself, so that rows stay in their mini-batch; ``group``: whole groups."""
+    if mode == "group":
+        out = grouped_partition(rows, batch, group, k)
+        order = ["part", "row_id"]
+    elif mode == "mini":
+        keyed = rows.withColumn("_batch", F.col(batch) * (1 << 32) + F.floor(F.col("row_id") / mini_batch))
+        out = partition(keyed.drop(batch), "_batch", k, equal_size=True)
+        out = out.withColumn(batch, F.shiftright("_batch", 32)).withColumn("_mini", F.col("_batch").bitwiseAND(F.lit((1 << 32) - 1))).drop("_batch")
+        order = ["part", "_mini", "row_id"]
+    elif mode == "plain":
+        out = partition(rows, batch, k, equal_size=True)
+        order = ["part", "row_id"]
+    else:
+        raise ValueError(f"unknown mode: {mode}")
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1  # one training batch
+    return out.withColumn("place", place).drop("_mini")

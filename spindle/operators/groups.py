@@ -1,61 +1,78 @@
-"""Group-relative estimators: one shuffle on the group serves all of them.
+"""Group-relative estimators: one aggregate per prompt serves all of them.
 
-Rows are responses (uid, response_id, score, length).  Standard deviations are
-sample deviations; groups of one have mean 0 and deviation 1 unless stated.
+Rows are responses (uid, response_id, score, length).  Statistics are combined
+before the shuffle and joined back on uid, so a prompt with a third of all rows
+is no single task: its aggregate is partial and the join's skewed side can be
+split.  Standard deviations are sample deviations; groups of one have mean 0
+and deviation 1 unless stated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-6
 
 
-def _w():
-    return Window.partitionBy("uid")
+def _with(rows: DataFrame, **stats: Column) -> DataFrame:
+    """The rows with the statistics of their group."""
+    return rows.join(rows.groupBy("uid").agg(*[x.alias(k) for k, x in stats.items()]), "uid")
+
+
+def _scored(rows: DataFrame, columns: list[str], advantage: Column) -> DataFrame:
+    return rows.withColumn("advantage", advantage).select(*columns, "advantage")
 
 
 def grpo(rows: DataFrame, by_deviation: bool = True) -> DataFrame:
-    n, mean, std = F.count("*").over(_w()), F.avg("score").over(_w()), F.stddev_samp("score").over(_w())
-    centred = F.col("score") - F.when(n == 1, 0.0).otherwise(mean)
-    return rows.withColumn("advantage", centred / (F.when(n == 1, 1.0).otherwise(std) + EPS) if by_deviation else centred)
+    out = _with(rows, _n=F.count("*"), _mean=F.avg("score"), _std=F.stddev_samp("score"))
+    alone = F.col("_n") == 1
+    centred = F.col("score") - F.when(alone, 0.0).otherwise(F.col("_mean"))
+    return _scored(out, rows.columns, centred / (F.when(alone, 1.0).otherwise(F.col("_std")) + EPS) if by_deviation else centred)
 
 
 def grpo_floored(rows: DataFrame) -> DataFrame:
     """The variance is floored before the root."""
-    n, mean, var = F.count("*").over(_w()), F.avg("score").over(_w()), F.var_samp("score").over(_w())
-    std = F.when(n == 1, 1.0).otherwise(F.sqrt(F.greatest(var, F.lit(EPS))))
-    return rows.withColumn("advantage", (F.col("score") - F.when(n == 1, 0.0).otherwise(mean)) / (std + EPS))
+    out = _with(rows, _n=F.count("*"), _mean=F.avg("score"), _var=F.var_samp("score"))
+    alone = F.col("_n") == 1
+    std = F.when(alone, 1.0).otherwise(F.sqrt(F.greatest(F.col("_var"), F.lit(EPS))))
+    return _scored(out, rows.columns, (F.col("score") - F.when(alone, 0.0).otherwise(F.col("_mean"))) / (std + EPS))
 
 
 def rloo(rows: DataFrame, keep_single: bool = True) -> DataFrame:
     """Score against the mean of the others; a group of one keeps its score, or gets 0."""
-    n, total = F.count("*").over(_w()), F.sum("score").over(_w())
-    others = (n * F.col("score") - total) / F.greatest(n - 1, F.lit(1))
-    return rows.withColumn("advantage", F.when(n == 1, F.col("score") if keep_single else F.lit(0.0)).otherwise(others))
+    out = _with(rows, _n=F.count("*"), _sum=F.sum("score"))
+    others = (F.col("_n") * F.col("score") - F.col("_sum")) / F.greatest(F.col("_n") - 1, F.lit(1))
+    return _scored(out, rows.columns, F.when(F.col("_n") == 1, F.col("score") if keep_single else F.lit(0.0)).otherwise(others))
 
 
 def opo(rows: DataFrame) -> DataFrame:
     """Length-weighted baseline; 0 for a group of one."""
-    n = F.count("*").over(_w())
-    base = F.sum(F.col("length") * F.col("score")).over(_w()) / F.sum("length").over(_w())
-    return rows.withColumn("advantage", F.col("score") - F.when(n == 1, 0.0).otherwise(base))
+    out = _with(rows, _n=F.count("*"), _base=F.sum(F.col("length") * F.col("score")) / F.sum("length"))
+    return _scored(out, rows.columns, F.col("score") - F.when(F.col("_n") == 1, 0.0).otherwise(F.col("_base")))
 
 
-def pass_at_k(rows: DataFrame) -> DataFrame:
-    """Only the best response of a group gets its lead over the second best."""
-    order = _w().orderBy(F.desc("score"), "response_id")
-    lead = F.col("score") - F.lead("score").over(order)
-    return rows.withColumn("advantage", F.when(F.row_number().over(order) == 1, F.coalesce(lead, F.lit(0.0))).otherwise(0.0))
+def pass_at_k(rows: DataFrame, by_deviation: bool = False, strict: bool = False) -> DataFrame:
+    """Only the best response of a group (the first of equals) gets its lead over
+    the second best; ``by_deviation``: over the group's deviation.  A group of one gets 0, or raises (``strict``)."""
+    best = F.max(F.struct(F.col("score"), (-F.col("response_id")).alias("_id")))
+    out = _with(rows, _n=F.count("*"), _std=F.stddev_samp("score"), _best=best)
+    first = -F.col("response_id") == F.col("_best._id")
+    second = out.where(~first).groupBy("uid").agg(F.max("score").alias("_second"))
+    out = out.join(second, "uid", "left")
+    alone = F.raise_error(F.lit("a group of one response")).cast("double") if strict else F.lit(0.0)
+    lead = F.col("score") - F.col("_second")
+    lead = lead / (F.col("_std") + EPS) if by_deviation else lead
+    return _scored(out, rows.columns, F.when(F.col("_n") == 1, alone).when(first, lead).otherwise(0.0))
 
 
 def gpg(rows: DataFrame) -> DataFrame:
     """Centred scores scaled by batch size over the number of scores that are not 0 (one aggregate row, broadcast)."""
     scale = rows.agg((F.count("*") / F.greatest(F.count_if(F.col("score") != 0), F.lit(1))).alias("_scale"))
-    n = F.count("*").over(_w())
-    centred = F.col("score") - F.when(n == 1, 0.0).otherwise(F.avg("score").over(_w()))
-    return rows.withColumn("_c", centred).join(F.broadcast(scale)).withColumn("advantage", F.col("_c") * F.col("_scale")).drop("_c", "_scale")
+    out = _with(rows, _n=F.count("*"), _mean=F.avg("score")).join(F.broadcast(scale))
+    centred = F.col("score") - F.when(F.col("_n") == 1, 0.0).otherwise(F.col("_mean"))
+    return _scored(out, rows.columns, centred * F.col("_scale"))
 
 
 def majority(rows: DataFrame, vote: str) -> DataFrame:
@@ -66,18 +83,24 @@ def majority(rows: DataFrame, vote: str) -> DataFrame:
 
 
 def gae(rows: DataFrame, gamma: float, lam: float) -> DataFrame:
-    """advantages of token arrays ``rewards``, ``values`` and ``mask``: the backward recurrence, carried through masked places."""
-    zipped = F.reverse(F.arrays_zip("rewards", "values", "mask"))
-    zero = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
-
-    def step(s, x):
-        delta = x["rewards"] + gamma * s["next"] - x["values"]
-        now = delta + gamma * lam * s["last"]
-        live = x["mask"] == 1
-        return F.struct(
-            F.when(live, x["values"]).otherwise(s["next"]).alias("next"),
-            F.when(live, now).otherwise(s["last"]).alias("last"),
-            F.concat(s["out"], F.array(F.when(live, now).otherwise(s["last"]))).alias("out"),
-        )
-
-    return rows.withColumn("advantages", F.reverse(F.aggregate(zipped, zero, step, lambda s: s["out"])))
+    """advantages of token arrays ``rewards``, ``values`` and ``mask``: the
+    backward recurrence, carried through masked places (an Arrow-batched function,
+    linear in the length).  A null array gives null."""
+
+    @F.pandas_udf("array<double>")
+    def back(rewards: pd.Series, values: pd.Series, masks: pd.Series) -> pd.Series:
+        out = []
+        for r, v, m in zip(rewards, values, masks, strict=True):
+            if r is None or v is None or m is None:
+                out.append(None)
+                continue
+            ahead, last, done = 0.0, 0.0, [0.0] * len(r)
+            for i in range(len(r) - 1, -1, -1):
+                if m[i] == 1:
+                    last = r[i] + gamma * ahead - v[i] + gamma * lam * last
+                    ahead = v[i]
+                done[i] = last
+            out.append(done)
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn("advantages", back("rewards", "values", "mask"))

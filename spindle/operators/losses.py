@@ -67,6 +67,39 @@ def value(bound: float = 0.5) -> Column:
     return 0.5 * F.greatest((v - ret) * (v - ret), (near - ret) * (near - ret))
 
 
+def entropy() -> Column:
+    """The logged entropy of each token (column ``entropy``)."""
+    return F.col("entropy")
+
+
+def clip_covariance(low: float = 0.2, high: float = 0.2) -> Column:
+    """The clipped loss without the tokens that ``banded_covariance`` chose."""
+    a, _, _, r = _parts()
+    return F.greatest(-a * r, -a * clamp(r, 1 - low, 1 + high)) * F.when(F.col("chosen"), 0.0).otherwise(1.0)
+
+
+def kl_covariance(coefficient: float = 1.0) -> Column:
+    """The plain loss, with the absolute log-ratio added for tokens that ``largest_covariance`` chose."""
+    a, new, old, r = _parts()
+    return -a * r + F.when(F.col("chosen"), coefficient * F.abs(new - old)).otherwise(0.0)
+
+
+def weighted(loss: Column) -> Column:
+    """A loss times the token's importance weight."""
+    return loss * F.col("weight")
+
+
+def forward_kl(mass: str | None = None) -> Column:
+    """Distillation: the logged top-k forward divergence of each token, at least 0."""
+    return F.greatest(F.col("teacher_kl"), F.lit(0.0))
+
+
+def reverse_kl(kind: str = "k3") -> Column:
+    """Distillation: a divergence estimate of the student's log-probabilities (``new``) from the teacher's (``teacher``)."""
+    d = clamp(F.col("teacher") - F.col("new"), -BOUND, BOUND)
+    return {"k1": -d, "abs": F.abs(d), "k2": 0.5 * d * d, "k3": clamp(F.exp(d) - 1 - d, -10, 10)}[kind]
+
+
 def _seen(x: Column) -> Column:
     """Over the responses with a token under the mask."""
     return F.avg(F.when(F.col("_n") > 0, x))
@@ -80,13 +113,15 @@ MODES: dict[str, Callable[[Column, float], Column]] = {
 }
 
 
-def aggregate(tokens: DataFrame, losses: dict[str, Column], mode: str = "token-mean", horizon: float = 1.0) -> DataFrame:
-    """One row with the batch loss of each expression; wholly masked responses count in no sequence mean."""
-    if mode not in MODES:
-        raise ValueError(f"unknown mode: {mode}")
+def aggregate(tokens: DataFrame, losses: dict[str, Column], mode: str | dict[str, str] = "token-mean", horizon: float = 1.0) -> DataFrame:
+    """One row with the batch loss of each expression, in one pass; ``mode`` of all
+    or of each.  Wholly masked responses count in no sequence mean."""
+    modes = dict.fromkeys(losses, mode) if isinstance(mode, str) else mode
+    if unknown := set(modes.values()) - set(MODES):
+        raise ValueError(f"unknown mode: {sorted(unknown)[0]}")
     m = F.coalesce(F.col("mask"), F.lit(0))
     per = tokens.groupBy("response_id").agg(F.sum(m).alias("_n"), *[F.sum(x * m).alias(f"_s_{k}") for k, x in losses.items()])
-    return per.agg(*[MODES[mode](F.col(f"_s_{k}"), horizon).alias(k) for k in losses])
+    return per.agg(*[MODES[modes[k]](F.col(f"_s_{k}"), horizon).alias(k) for k in losses])
 
 
 def sequence_ratio(tokens: DataFrame, low: float = 0.2, high: float = 0.2) -> DataFrame:

@@ -9,6 +9,7 @@ Null masks count as 0.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,14 +92,26 @@ def several_rewards(tokens: DataFrame, rewards: dict[str, float]) -> DataFrame:
 
 
 def discounted(rows: DataFrame, gamma: float) -> DataFrame:
-    """Arrays ``rewards`` and ``mask`` to ``returns``: the backward sum with discount, started anew before each masked place."""
-    zero = F.struct(F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("out"))
+    """Arrays ``rewards`` and ``mask`` to ``returns``: the backward sum with discount, started anew before each masked place.
 
-    def step(s: Column, x: Column) -> Column:
-        now = x["rewards"] + gamma * s["next"]
-        return F.struct((now * x["mask"]).alias("next"), F.concat(s["out"], F.array(now)).alias("out"))
+    A recurrence over one array: an Arrow-batched function, linear in the length
+    (a fold of expressions would copy its output at every place).  A null array gives null."""
 
-    return rows.withColumn("returns", F.reverse(F.aggregate(F.reverse(F.arrays_zip("rewards", "mask")), zero, step, lambda s: s["out"])))
+    @F.pandas_udf("array<double>")
+    def back(rewards: pd.Series, masks: pd.Series) -> pd.Series:
+        out = []
+        for r, m in zip(rewards, masks, strict=True):
+            if r is None or m is None:
+                out.append(None)
+                continue
+            now, done = 0.0, [0.0] * len(r)
+            for i in range(len(r) - 1, -1, -1):
+                done[i] = r[i] + gamma * now
+                now = done[i] * m[i]
+            out.append(done)
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn("returns", back("rewards", "mask"))
 
 
 def token_baseline(tokens: DataFrame, weight: str | None = None) -> DataFrame:
@@ -135,9 +148,75 @@ def compact(tokens: DataFrame) -> DataFrame:
 
 
 def divergence(kind: str) -> Column:
-    """k1, k2 or k3 of the clamped log-ratio of training (``new``) and rollout (``old``)."""
+    """k1, abs, k2 or k3 of the clamped log-ratio of training (``new``) and rollout (``old``)."""
     d = clamp(F.col("new") - F.col("old"), -BOUND, BOUND)
-    return {"k1": -d, "k2": 0.5 * d * d, "k3": F.exp(d) - 1 - d}[kind]
+    return {"k1": -d, "abs": F.abs(d), "k2": 0.5 * d * d, "k3": F.exp(d) - 1 - d}[kind]
+
+
+def kl_penalised(tokens: DataFrame, beta: float, kind: str = "k1", column: str = "reward") -> DataFrame:
+    """The reward less beta times the divergence of the policy (``old``) from its reference (``ref``), under the mask."""
+    d = clamp(F.col("ref") - F.col("old"), -BOUND, BOUND)
+    k = {"k1": -d, "abs": F.abs(d), "k2": 0.5 * d * d, "k3": clamp(F.exp(d) - 1 - d, -10, 10)}[kind]
+    return tokens.withColumn("kl", k * _m()).withColumn("penalised", F.col(column) - beta * F.col("kl"))
+
+
+def adaptive_coefficient(steps: DataFrame, start: float, target: float, horizon: float) -> DataFrame:
+    """Coefficient after each logged step (step, kl, n): a running product of
+    1 + clip(kl / target - 1, 0.2) * n / horizon.  One row a training step meets in one task."""
+    error = clamp(F.col("kl") / target - 1, -0.2, 0.2)
+    log = F.log(1 + error * F.col("n") / horizon)
+    run = F.sum(log).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return steps.withColumn("coefficient", start * F.exp(run))
+
+
+def softmax_sums(logits: Column | str, picked: Column | str) -> Column:
+    """struct(log_prob of the picked place, entropy, sum of squared probabilities) of an array of logits, shifted by its largest."""
+    x = F.col(logits) if isinstance(logits, str) else logits
+    k = F.col(picked) if isinstance(picked, str) else picked
+    shifted = lambda a: F.transform(a, lambda v: v - F.array_max(a))
+    add = lambda f: F.aggregate(shifted(x), F.lit(0.0), lambda s, v: s + f(v))
+    norm = add(F.exp)
+    log_z = F.log(norm)
+    entropy = log_z - add(lambda v: v * F.exp(v)) / norm
+    return F.struct((F.get(x, k) - F.array_max(x) - log_z).alias("log_prob"), entropy.alias("entropy"), (add(lambda v: F.exp(2 * v)) / (norm * norm)).alias("sum_pi_squared"))
+
+
+def unpadded(ids: Column | str, mask: Column | str) -> Column:
+    """The last ids, as many as the mask has ones."""
+    a = F.col(ids) if isinstance(ids, str) else ids
+    n = F.aggregate(mask, F.lit(0), lambda s, x: s + x.cast("int"))
+    return F.when(n == 0, F.slice(a, 1, 0)).otherwise(F.slice(a, F.size(a) - n + 1, n))
+
+
+def covariance(tokens: DataFrame) -> DataFrame:
+    """``cov``: advantage and log-probability, each less its mean under the mask (one row is broadcast); null outside the mask."""
+    means = tokens.agg(F.avg(masked(F.col("advantage"))).alias("_a"), F.avg(masked(F.col("new"))).alias("_p"), F.sum(_m()).alias("_tokens"))
+    out = tokens.crossJoin(F.broadcast(means))
+    return out.withColumn("cov", masked((F.col("advantage") - F.col("_a")) * (F.col("new") - F.col("_p")))).drop("_a", "_p")
+
+
+def _first(rows: DataFrame, order: list[Column], share: float, flag: str) -> DataFrame:
+    """The rows with a mark on the first max(1, share * tokens) by an order: the
+    cut is found by a top-n of that size, its last key is broadcast."""
+    n = int((rows.agg(F.max("_tokens")).first()[0] or 0) * share)
+    keys = [f"_o{i}" for i in range(len(order))]
+    top = rows.select(*[x.alias(k) for x, k in zip(order, keys, strict=True)], "response_id", "pos").where(f"{keys[0]} is not null")
+    chosen = top.orderBy(*keys, "response_id", "pos").limit(max(1, n)).select("response_id", "pos", F.lit(True).alias(flag))
+    out = rows.join(chosen, ["response_id", "pos"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return out.drop("_tokens")
+
+
+def largest_covariance(tokens: DataFrame, share: float) -> DataFrame:
+    """``chosen``: the tokens of the largest covariance, max(1, share * tokens) of them; ties by place."""
+    return _first(covariance(tokens), [-F.col("cov")], share, "chosen")
+
+
+def banded_covariance(tokens: DataFrame, share: float, low: float, high: float, seed: int) -> DataFrame:
+    """``chosen``: as many tokens at random (by a seeded hash) of those with a covariance within the band."""
+    rows = covariance(tokens)
+    inside = (F.col("cov") > low) & (F.col("cov") < high)
+    key = F.when(inside, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("response_id").cast("string"), F.col("pos").cast("string")).cast("binary")))
+    return _first(rows, [key], share, "chosen")
 
 
 def reject(tokens: DataFrame, options: dict[str, tuple[float | None, float]]) -> DataFrame:
@@ -198,6 +277,10 @@ def off_policy(tokens: DataFrame) -> DataFrame:
     total = F.sum("_n")
     return per.agg(
         F.avg(F.exp(-F.col("_new"))).alias("training_ppl"),
+        F.avg(-F.col("_new")).alias("training_log_ppl"),
+        F.avg(-F.col("_old")).alias("rollout_log_ppl"),
+        F.avg(F.col("_new") - F.col("_old")).alias("log_ppl_gap"),
+        F.avg(F.exp(F.col("_old") - F.col("_new"))).alias("ppl_ratio"),
         F.avg(F.exp(-F.col("_old"))).alias("rollout_ppl"),
         (F.sum("_kl") / total).alias("kl"),
         (F.sum("_k3") / total).alias("k3_kl"),
@@ -210,3 +293,17 @@ def effective_sample(tokens: DataFrame) -> DataFrame:
     """Mean, least and largest weight under the mask and the effective sample share 1 / mean((w / mean)^2)."""
     w = masked(F.col("weight"))
     return tokens.agg(F.avg(w).alias("mean"), F.min(w).alias("least"), F.max(w).alias("most"), (F.avg(w) * F.avg(w) / F.avg(w * w)).alias("effective"))
+
+
+def corrected(tokens: DataFrame, weights: dict | None, rejection: dict | None) -> tuple[DataFrame, DataFrame]:
+    """(tokens with ``weight`` and the mask after rejection, one row of off-policy
+    metrics on the mask before it): weights and rejection come from the same log-ratio."""
+    before = off_policy(tokens)
+    out = importance_weights(tokens, **weights) if weights else tokens.withColumn("weight", F.lit(1.0))
+    out = reject(out, rejection) if rejection else out.withColumn("kept_mask", _m())
+    return out.withColumn("mask", F.col("kept_mask")), before.select(*[F.col(c).alias(f"rollout_corr/{c}") for c in before.columns])
+
+
+def bypassed(tokens: DataFrame) -> DataFrame:
+    """The rollout's log-probabilities (``rollout``) in place of the old policy's."""
+    return tokens.withColumn("old", F.col("rollout"))
