@@ -9,7 +9,8 @@ one nested conditional expression.
 
 Defined results: a null text has no words, so it fails the base rules; empty
 and blank texts likewise.  Rows repeated in the input are repeated in the
-output.  Labels that are null, or whose document is missing, are not used; if
+output.  A text is one row of arrays: its length is bounded by what Spark takes as a string (2 GB),
+by nothing here.  Labels that are null, or whose document is missing, are not used; if
 no usable label of each class exists, the list is empty and keeps everything
 that the base rules keep.  Input columns are never needed by name except
 ``doc_id`` and ``text``; others are ignored.
@@ -25,9 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = " \\u0009\\u000a\\u000b\\u000c\\u000d"
-#: Low bits of a packed trigram that hold its position: texts of up to 2^24 words.
-_POS = (1 << 24) - 1
-
 MAX_FIT_ROWS = 20_000
 
 FEATURES = {
@@ -56,15 +54,13 @@ def base_stats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             " transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))[0])"
         ),
     )
-    repeat = f"""
+    repeat = """
         if(size(_h) < 2 or size(array_distinct(_h)) = size(_h), 0,
           transform(
-            array(struct(_h as h, sort_array(transform(_h, (x, i) -> (x & ~{_POS}L) | i)) as p)),
-            s -> size(array_distinct(flatten(transform(
-                filter(s.p, (x, k) ->
-                    coalesce(s.h[int(x & {_POS}L)] = s.h[int(get(s.p, k + 1) & {_POS}L)], false)
-                    or coalesce(s.h[int(x & {_POS}L)] = s.h[int(get(s.p, k - 1) & {_POS}L)], false)),
-                x -> transform(array(int(x & {_POS}L)), i -> array(i, i + 1, i + 2))[0]))))
+            array(sort_array(transform(_h, (x, i) -> struct(x as h, i as i)))),
+            p -> size(array_distinct(flatten(transform(
+                filter(p, (x, k) -> coalesce(x.h = get(p, k + 1).h, false) or coalesce(x.h = get(p, k - 1).h, false)),
+                x -> array(x.i, x.i + 1, x.i + 2)))))
           )[0])
     """
     return df.select(
@@ -185,6 +181,17 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
+def kept_rows(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    The verdict is a column that depends on no task but is not taken for
+    deterministic, so that the optimizer leaves the filter above the statistics:
+    pushed below, it would compute each statistic once for every rule."""
+    whole = docs.select("doc_id", "text", F.struct("*").alias("_document"))
+    judged = base_stats(whole, ("_document",)).select("_document", (verdict(rules) & (F.spark_partition_id() >= 0)).alias("_kept"))
+    return judged.where("_kept").select("_document.*")
+
+
 def assess(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Statistics, base verdict and verdict of each document."""
     return base_stats(docs).select("*", base_failed().alias("base_failed"), verdict(rules).alias("kept"))
