@@ -24,9 +24,7 @@ from spindle.llm.store import Workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    whole = docs.select("doc_id", "text", F.struct("*").alias("_document"))
-    return quality.base_stats(whole, ("_document",)).where(quality.verdict(rules)).select("_document.*")
+    return quality.kept_rows(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
