@@ -12,7 +12,9 @@ with a probability of about 5e-6.
 * In a bucket, one-permutation sketches (128 bytes a text) are compared, and a
   spanning forest of the pairs with an estimate of 0.6 or more is written:
   as many rows as texts, never all pairs, and over five standard errors below
-  the threshold.
+  the threshold.  A bucket of more than ``HOT`` texts is dealt to tiles of two
+  blocks each, so that every two of its texts meet in some task and no task
+  holds more than 2 * HOT of them.
 * Components of these rows are read together and verified exactly: an inverted
   index gives every pair's common shingles, pairs that can reach 0.8 are
   aligned, and the links of a spanning forest are written.  A component of
@@ -21,7 +23,7 @@ with a probability of about 5e-6.
 Defined results: a text without a word is in a class of its own; a text of
 one to four words is one shingle.  doc_id is a key: a doc_id that stands for
 several texts joins them in one class only if they are near duplicates.  A row
-without doc_id has no class.
+without doc_id has no class.  doc_ids are integers; others raise.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ ORDER = 2
 BINS = 128
 ESTIMATE = 0.6
 TILE = 2048
+HOT = 512
 _MULT = splitmix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = splitmix(np.arange(101, 101 + SAMPLES, dtype=np.uint64))
 _PART = splitmix(np.arange(201, 201 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -177,6 +180,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     work = Workspace(spark, "near")
     parts = shuffle_partitions(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    if id_type not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id is {id_type}, not an integer")
 
     def sign(batches):
         for b in batches:
@@ -191,8 +196,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     firsts = signed.where("doc_id is not null and size(keys) > 0").groupBy("same").agg(F.min(F.struct("doc_id", "sketch", "keys")).alias("f"))
     firsts = work.write(firsts.select("same", "f.doc_id", "f.sketch", "f.keys"), "firsts")
     filed = firsts.select(F.explode("keys").alias("key"), "doc_id").distinct()
-    shared = filed.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("key")
-    members = filed.join(shared, "key").join(firsts.select("doc_id", "sketch"), "doc_id")
+    shared = filed.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count("*").alias("_n")).where("_a < _b").select("key", "_n")
+    tiles_of = "transform(sequence(0, _blocks - 1), j -> struct(least(_mine, j) as i, greatest(_mine, j) as j))"
+    dealt = filed.join(shared, "key").withColumn("_blocks", F.expr(f"if(_n <= {HOT}, 1, int(ceil(_n / {HOT})))")).withColumn("_mine", F.expr("int(pmod(xxhash64(doc_id), _blocks))"))
+    members = dealt.select(F.explode(F.expr(tiles_of)).alias("tile"), "key", "doc_id").select(F.xxhash64("key", "tile.i", "tile.j").alias("key"), "doc_id").join(firsts.select("doc_id", "sketch"), "doc_id")
 
     def buckets(batches):
         key, ids, rows = None, [], []
