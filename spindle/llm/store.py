@@ -2,28 +2,20 @@
 
 Lineage is cut by writing a table and reading it back, never by a local
 checkpoint: the files outlive the executor that wrote them.  The folder is the
-one named in ``spark.checkpoint.dir``; only where a session has none (tests)
-is one of our own made.
+one named in ``spark.checkpoint.dir``; only a local session without one (tests)
+gets a folder of its own, a cluster without one is refused.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spindle-"))
+from spindle.sources.scratch import shared_dir
 
 
 class Workspace:
@@ -61,13 +53,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def even_labels(spark: SparkSession, n: int) -> list[int]:
-    """n integers that Spark's hash partitioning deals to n partitions one each,
-    so that n buckets grouped by their labels load all tasks alike."""
-    rows = spark.range(n * 40, numPartitions=1).selectExpr("int(id) as i", f"pmod(hash(int(id)), {n}) as p").groupBy("p").agg({"i": "min"}).collect()
-    used = {r[1] for r in rows}
-    spare = (i for i in range(n * 40, n * 41) if i not in used)
-    return sorted(used) + [next(spare) for _ in range(n - len(used))]
+def even_labels(spark: SparkSession, n: int, each: int = 1) -> list[int]:
+    """n * each integers that Spark's hash partitioning deals to n partitions
+    ``each`` apiece, so that buckets grouped by their labels load all tasks alike."""
+    wide = n * each * 40
+    rows = spark.range(wide, numPartitions=1).selectExpr("int(id) as i", f"pmod(hash(int(id)), {n}) as p").groupBy("p").agg(F.slice(F.sort_array(F.collect_list("i")), 1, each).alias("i")).collect()
+    used = [i for r in rows for i in r["i"]]
+    taken = set(used)
+    spare = (i for i in range(wide, 2 * wide) if i not in taken)
+    return sorted(used) + [next(spare) for _ in range(n * each - len(used))]
 
 
 def release(spark: SparkSession) -> None:

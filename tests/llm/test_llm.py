@@ -54,6 +54,38 @@ def lcs(a, b):
     return row[-1]
 
 
+def test_hot_buckets_and_tiles(odd, monkeypatch):
+    """Buckets and components of a few texts already are split: the classes stay the same."""
+    want = {(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd).collect()}
+    monkeypatch.setattr(near_dedup, "HOT", 2)
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    assert {(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd).collect()} == want
+
+
+def test_near_duplicates_of_other_ids(odd):
+    with pytest.raises(TypeError):
+        near_dedup.near_duplicates(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_recall_of_near_duplicates(spark):
+    """Documents of the smallest table: all classes of an exact all-pairs run are found."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    items = {i: x for (i, _), x in zip(rows, near_dedup._text_items(pa.array([t for _, t in rows], pa.string())), strict=True)}
+    links = set()
+    for a in items:
+        for b in items:
+            x, y = items[a], items[b]
+            if a < b and len(x) and len(y) and 1.8 * len(np.intersect1d(x, y)) >= 0.8 * (len(x) + len(y)) - 1e-6 and near_dedup.linked(x, y, len(np.intersect1d(x, y))):
+                links.add((a, b))
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert links and all(classes[a] == classes[b] for a, b in links)
+
+
 def test_banded_alignment():
     rng = random.Random(3)
     for _ in range(200):
@@ -152,6 +184,53 @@ def test_decontamination(spark, odd):
     assert decontaminate.clean(odd, bench.limit(0)).count() == odd.count()
 
 
+def first_place(items, texts):
+    index = decontaminate.Index([(k, t.encode()) for k, t in enumerate(items)])
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    return decontaminate.find(index, np.frombuffer(b"".join(raw), np.uint8), offs)
+
+
+def test_places_of_matches():
+    rng = random.Random(1)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    other = "".join(rng.choice("stuvwxyz ") for _ in range(300))
+    got = first_place([item], [other + item + other, item + other + item, other, item[:70]])
+    assert got == [(0, 0, 300, 390), (1, 0, 0, 90), (3, 0, 0, 70)]
+
+
+@pytest.mark.parametrize("unit", [" ", "-=", "ab "])
+def test_periodic_texts_are_searched_in_bounded_work(unit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE", 5000)
+    rng = random.Random(2)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    text = unit * (200_000 // len(unit))
+    got = first_place([(unit * 120)[:120], item], [text + item, "q" * 50_000, text[:40]])
+    assert [(r, i) for r, i, _, _ in got] == [(0, 0), (0, 1)]
+    assert abs(got[1][2] - len(text)) <= 5 and abs(got[1][3] - len(text) - 90) <= 5
+
+
+def test_slices_find_the_same(monkeypatch):
+    rng = random.Random(4)
+    items = ["".join(rng.choice("ab ") for _ in range(80)) for _ in range(6)]
+    texts = ["".join(rng.choice("ab ") for _ in range(60)) + rng.choice(items) + "".join(rng.choice("ab ") for _ in range(300)) for _ in range(20)]
+    want = {(r, i) for r, i, _, _ in first_place(items, texts)}
+    monkeypatch.setattr(decontaminate, "SLICE", 200)
+    assert {(r, i) for r, i, _, _ in first_place(items, texts)} == want and len(want) >= 20
+
+
+def test_several_blocks_and_repeated_items(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(k // 2, "".join(rng.choice("abcdefgh ") for _ in range(80))) for k in range(12)]
+    docs = spark.createDataFrame([(d, f"{rng.random()} {items[d % 12][1]} {items[d % 12][1]} end") for d in range(24)] + [(99, "clean text"), (5, items[5][1])], "doc_id long, text string")
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    want = Counter((d, d % 12 // 2) for d in range(24)) + Counter([(5, 2)])
+    for size in (8 << 20, 200):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert Counter((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()) == want
+        assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [99]
+
+
 def stats(text):
     w = words_of(text)
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -361,18 +440,39 @@ def test_classes_of_words_beyond_the_first(spark, monkeypatch):
     assert got[100] > got[101] + 20
 
 
-def test_stretches_that_differ_in_high_bits(spark, monkeypatch):
+def test_hashes_that_collide_change_nothing(spark, odd_rows, monkeypatch):
+    """All strings have one hash: the bytes alone tell what is equal."""
     whole = suffix_dedup.stretches
 
-    def high(data, offs, depth):
-        row, start, end, anchor, stretch = whole(data, offs, depth)
-        return row, start, end, anchor & np.uint64(0), stretch << np.uint64(48)
+    def alike(data, offs, depth):
+        row, start, end, place, h = whole(data, offs, depth)
+        return row, start, end, place, h & np.uint64(0)
+
+    monkeypatch.setattr(suffix_dedup, "stretches", alike)
+    short = [(i, t if not t or len(t) < 20_000 else t[:3000]) for i, t in odd_rows]
+    out = suffix_dedup.dedup(spark.createDataFrame(short, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out) == repeats(short)
+
 
-    monkeypatch.setattr(suffix_dedup, "stretches", high)
-    texts = ["a stretch of text that no other document has, long enough for a window", "quite another line of words, which is as long as the first one was made"]
-    docs = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
-    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs).collect()}
-    assert got[0] == got[1] == 0 and got[2] > 0
+def test_radix_passes_order_windows():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(60, 80))) for _ in range(60)]
+    texts += [t[:55] + "x" + t[55:] for t in texts[:20]]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    start = np.concatenate([np.arange(a, b - 50 + 1) for a, b in zip(at[:-1], at[1:])])
+    owner = np.searchsorted(at, start, side="right") - 1
+    which, least = suffix_dedup.equal_windows(suffix_dedup._digits(data), start, owner, np.zeros(len(start), np.int64), 50)
+    by = defaultdict(set)
+    for s, o in zip(start, owner):
+        by[data[s : s + 50].tobytes()].add(int(o))
+    want = {int(k): min(by[data[start[k] : start[k] + 50].tobytes()]) for k in range(len(start)) if len(by[data[start[k] : start[k] + 50].tobytes()]) > 1}
+    assert dict(zip(which.tolist(), least.tolist())) == want and want
+
+
+def test_repeats_of_other_ids(odd):
+    with pytest.raises(TypeError):
+        suffix_dedup.dedup(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_pipeline_keeps_one_row_of_a_class(spark):
