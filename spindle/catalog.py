@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spindle.functions import answers, scorers
 from spindle.operators import balance, groups, index, losses, metrics, rows, tokens
 from spindle.plans.shell import run_pipeline
-from spindle.sources.scratch import shared_dir
+from spindle.sources.scratch import hold, shared_dir
 from spindle.sources.tables import corpus_lines
 from spindle.streaming import queue
 
@@ -118,7 +118,7 @@ def _index(spark: SparkSession, d: str) -> index.Index:
     """The corpus' written index: built once a session, as an index is."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _BUILT:
-        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        path = hold(f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
         index.build(corpus_lines(_t(spark, d, "documents")), path, d)
         _BUILT[key] = path
     return index.Index(spark, _BUILT[key])

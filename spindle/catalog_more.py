@@ -13,13 +13,13 @@ from spindle.operators import balance, groups, losses, metrics, registry, replay
 from spindle.plans import patterns
 from spindle.plans.shell import compile_pipeline, execute
 from spindle.sources import datasets, sinks
-from spindle.sources.scratch import shared_dir
+from spindle.sources.scratch import hold, shared_dir
 from spindle.sources.tables import corpus_lines, keep_split, read_jsonl
 from spindle.streaming import samples
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return hold(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def _rounded(df: DataFrame, digits: int = 7) -> DataFrame:
