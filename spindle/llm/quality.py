@@ -26,6 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = " \\u0009\\u000a\\u000b\\u000c\\u000d"
+#: Low bits of a packed trigram that hold its place; longer texts take structs.
+_PLACES = (1 << 24) - 1
+
 MAX_FIT_ROWS = 20_000
 
 FEATURES = {
@@ -54,15 +57,26 @@ def base_stats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             " transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))[0])"
         ),
     )
-    repeat = """
-        if(size(_h) < 2 or size(array_distinct(_h)) = size(_h), 0,
-          transform(
+    # equal trigrams are neighbours in the order of (hash, place): packed into one integer as long as places fit, as structs beyond
+    packed = f"""
+        transform(
+            array(struct(_h as h, sort_array(transform(_h, (x, i) -> (x & ~{_PLACES}L) | i)) as p)),
+            s -> size(array_distinct(flatten(transform(
+                filter(s.p, (x, k) ->
+                    coalesce(s.h[int(x & {_PLACES}L)] = s.h[int(get(s.p, k + 1) & {_PLACES}L)], false)
+                    or coalesce(s.h[int(x & {_PLACES}L)] = s.h[int(get(s.p, k - 1) & {_PLACES}L)], false)),
+                x -> transform(array(int(x & {_PLACES}L)), i -> array(i, i + 1, i + 2))[0]))))
+          )[0]
+    """
+    wide = """
+        transform(
             array(sort_array(transform(_h, (x, i) -> struct(x as h, i as i)))),
             p -> size(array_distinct(flatten(transform(
                 filter(p, (x, k) -> coalesce(x.h = get(p, k + 1).h, false) or coalesce(x.h = get(p, k - 1).h, false)),
                 x -> array(x.i, x.i + 1, x.i + 2)))))
-          )[0])
+          )[0]
     """
+    repeat = f"if(size(_h) < 2 or size(array_distinct(_h)) = size(_h), 0, if(size(_h) <= {_PLACES}, {packed}, {wide}))"
     return df.select(
         "doc_id",
         *keep,

@@ -239,6 +239,12 @@ def stats(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def test_texts_with_more_words_than_packed_places(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(quality, "_PLACES", 15)
+    got = Counter((r.doc_id, r.n_repeat_words) for r in quality.base_stats(odd.where("length(text) < 20000")).collect())
+    assert got == Counter((i, stats(t)[4]) for i, t in odd_rows if t is not None and len(t) < 20_000)
+
+
 def test_quality(spark, odd, odd_rows):
     docs = odd.unionByName(spark.createDataFrame([(500, "a\x0bb\x0cf ff # a b f\n x\nx \n\nx\n x")], "doc_id long, text string"), allowMissingColumns=True)
     got = quality.base_stats(docs).collect()
