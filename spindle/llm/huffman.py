@@ -134,7 +134,7 @@ def _binary(parts: list[bytes]) -> pa.Array:
 
 
 def write(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str, end_id: int, path: str | None = None) -> str:
-    """Tokenise ``docs`` (doc_id, text) and write the file; returns its path."""
+    """Tokenise ``docs`` (doc_id, text) and write the file; returns its path, without ``path`` a folder that the session deletes at its end."""
     work = Workspace(spark, "huffman")
     path = path or f"{work.base}/file"
     doc_type = docs.schema["doc_id"].dataType.simpleString()

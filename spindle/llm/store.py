@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.sources.scratch import shared_dir
+from spindle.sources.scratch import hold, shared_dir
 
 
 class Workspace:
@@ -23,7 +23,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = hold(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
         self._n = 0
 
     def path(self, name: str) -> str:
