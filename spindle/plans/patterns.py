@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,33 +73,38 @@ def plain(p: str) -> str:
     return re.sub(r"([\\.^$*+?()\[\]{}|])", r"\\\1", p)
 
 
-#: Characters whose simple case folding is not their lower case, by that folding.
-_FOLDED: dict[str, list[str]] = {}
-for _c in map(chr, range(128, sys.maxunicode + 1)):
-    if len(_c.casefold()) == 1 and _c.casefold() != _c.lower():
-        _FOLDED.setdefault(_c.casefold(), []).append(_c)
+@cache
+def _folded() -> dict[str, list[str]]:
+    """Characters whose simple case folding is not their lower case, by that folding."""
+    out: dict[str, list[str]] = {}
+    for c, f in _full().items():
+        if len(f) == 1:
+            out.setdefault(f, []).append(c)
+    return out
+
+
+@cache
+def _full() -> dict[str, str]:
+    """Characters with a full folding other than their lower case."""
+    return {c: c.casefold() for c in map(chr, range(128, sys.maxunicode + 1)) if c.casefold() != c.lower()}
 
 
 def folded_contains(line: Column, pattern: str) -> Column:
     """The line contains the literal pattern under simple case folding."""
     own = "".join(c.casefold() if len(c.casefold()) == 1 else c.lower() for c in pattern)
     for c in sorted(set(own)):
-        for other in _FOLDED.get(c, []):
+        for other in _folded().get(c, []):
             line = F.replace(line, F.lit(other), F.lit(c))
     if "i" in own:
         line = F.replace(line, F.lit("\u0130"), F.lit("\0"))  # folds to itself, but its lower case begins with an i
     return F.lower(line).contains(own)
 
 
-#: Characters with a full folding other than their lower case.
-_FULL = {c: c.casefold() for c in map(chr, range(128, sys.maxunicode + 1)) if c.casefold() != c.lower()}
-
-
 def casefold(text: Column) -> Column:
     """Full Unicode case folding; texts without such characters take the short way."""
-    single = {c: f for c, f in _FULL.items() if len(f) == 1}
+    single = {c: f for c, f in _full().items() if len(f) == 1}
     out = F.translate(text, "".join(single), "".join(single.values()))
-    for c, f in _FULL.items():
+    for c, f in _full().items():
         if len(f) > 1:
             out = F.replace(out, F.lit(c), F.lit(f))
-    return F.when(text.rlike(f"[{''.join(_FULL)}]"), F.lower(out)).otherwise(F.lower(text))
+    return F.when(text.rlike(f"[{''.join(_full())}]"), F.lower(out)).otherwise(F.lower(text))
