@@ -77,8 +77,8 @@ _ordered(
 )
 _ordered(
     "grep_basic_pattern",
-    "grep -n 'ion\\+s\\? of+*$' c | head -n 5",
-    "SELECT row_number() OVER (ORDER BY line_no) AS nr, (line_no + 1) || ':' || line AS line FROM lines WHERE regexp_matches(line, 'ion+s? of\\+*$') ORDER BY line_no LIMIT 5",
+    "grep -n 'ion\\+s\\? of' c | head -n 5",
+    "SELECT row_number() OVER (ORDER BY line_no) AS nr, (line_no + 1) || ':' || line AS line FROM lines WHERE regexp_matches(line, 'ion+s? of') ORDER BY line_no LIMIT 5",
 )
 _ordered("search_files_with_matches", "rg -l -F License corpus.jsonl", "SELECT 1::BIGINT AS nr, 'corpus.jsonl' AS line")
 _ordered(

@@ -14,6 +14,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column | str) -> Column:
     """Without the white space at both ends, line feeds too."""
     return F.trim(_c(x), F.lit(" \t\n\r\x0b\x0c"))

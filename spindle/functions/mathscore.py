@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindle.functions.answers import _c
+from spindle.functions.answers import _c, bound
 from spindle.functions.scorers import CLIP_CHARS, _last, _s
 
 #: What the final-answer form replaces and removes, in this order.
@@ -57,12 +57,45 @@ def closing_brace(text: Column) -> Column:
 
 def boxed_answer(text: Column | str) -> Column:
     """What the last \\boxed holds: up to its closing brace, or after "\\boxed " up to a dollar sign; null without one."""
-    t = _s(text)
-    tail = F.substring_index(t, "\\boxed", -1)
-    end = closing_brace(tail)
-    braced = F.when(F.startswith(tail, F.lit("{")) & end.isNotNull(), F.substring(tail, F.lit(2), end - 2))
-    spaced = F.substring_index(F.substring_index(t, "\\boxed ", -1), "$", 1)
-    return F.when(t.contains("\\boxed "), spaced).when(t.contains("\\boxed"), braced)
+
+    def braced(tail: Column) -> Column:
+        inner = bound(closing_brace(tail), lambda end: F.when(end.isNotNull(), F.substring(tail, F.lit(2), end - 2)))
+        return F.when(F.startswith(tail, F.lit("{")), inner)
+
+    def found(t: Column) -> Column:
+        spaced = F.substring_index(F.substring_index(t, "\\boxed ", -1), "$", 1)
+        return F.when(t.contains("\\boxed "), spaced).when(t.contains("\\boxed"), bound(F.substring_index(t, "\\boxed", -1), braced))
+
+    return bound(_s(text), found)
+
+
+_WHOLE = "(0|-?[1-9][0-9]*)"
+
+
+def _braced(x: Column) -> Column:
+    """\\frac1b and \\frac12 with their braces (a single sign after \\frac leaves the text
+    as it is), 0.5 and a/b as fractions; null if nothing follows a \\frac."""
+    both = F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+    fixed = F.when(x.rlike(r"\\frac[^{](?=\\frac|$)"), x).otherwise(both)
+    slashed = bound(fixed, lambda y: F.when(y == "0.5", F.lit("\\frac{1}{2}")).otherwise(F.regexp_replace(y, f"^{_WHOLE}/{_WHOLE}$", r"\\frac{$1}{$2}")))
+    return F.when(~x.rlike(r"\\frac(?=\\frac|$)"), slashed)
+
+
+def _rooted(x: Column) -> Column:
+    """\\sqrt3 with its braces and no spaces; null if nothing follows a \\sqrt."""
+    bare = F.replace(F.regexp_replace(x, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
+    return F.when(~x.rlike(r"\\sqrt(?=\\sqrt|$)"), bound(bare, _braced))
+
+
+def _named(x: Column) -> Column:
+    """Without a short name before the one "=", and with the zero before a leading point."""
+    led = F.when(F.startswith(x, F.lit(".")), F.concat(F.lit("0"), x)).otherwise(x)
+
+    def right(y: Column) -> Column:
+        sides = F.split(y, "=")
+        return F.when((F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) <= 2), F.get(sides, F.lit(1))).otherwise(y)
+
+    return F.when(x == "", F.lit("")).otherwise(bound(bound(led, right), _rooted))
 
 
 def math_form(text: Column | str) -> Column:
@@ -71,30 +104,19 @@ def math_form(text: Column | str) -> Column:
     x = F.replace(x, F.lit("\\\\"), F.lit("\\"))
     x = F.regexp_replace(x, "[td]frac", "frac")
     x = _without(x, ["\\left", "\\right", "^{\\circ}", "^\\circ", "\\$"])
-    bad = F.size(F.split(x, r"\\text\{ ")) > 2
-    x = F.substring_index(x, "\\text{ ", 1)
-    x = _without(x, ["\\\\%", "\\%"])
-    x = F.replace(F.replace(x, F.lit(" ."), F.lit(" 0.")), F.lit("{."), F.lit("{0."))
-    empty = x == ""
-    x = F.when(F.startswith(x, F.lit(".")), F.concat(F.lit("0"), x)).otherwise(x)
-    sides = F.split(x, "=")
-    x = F.when((F.size(sides) == 2) & (F.length(sides[0]) <= 2), F.get(sides, F.lit(1))).otherwise(x)
-    bad = bad | x.rlike(r"\\sqrt(?=\\sqrt|$)")
-    x = F.replace(F.regexp_replace(x, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
-    bad = bad | x.rlike(r"\\frac(?=\\frac|$)")
-    # \frac1b and \frac12 get their braces; a single sign after \frac leaves the text as it is
-    braces = F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
-    x = F.when(x.rlike(r"\\frac[^{](?=\\frac|$)"), x).otherwise(braces)
-    x = F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x)
-    whole = "(0|-?[1-9][0-9]*)"
-    x = F.regexp_replace(x, f"^{whole}/{whole}$", r"\\frac{$1}{$2}")
-    return F.when(empty, F.lit("")).when(~bad, x)
+
+    def unitless(y: Column) -> Column:
+        z = _without(F.substring_index(y, "\\text{ ", 1), ["\\\\%", "\\%"])
+        z = F.replace(F.replace(z, F.lit(" ."), F.lit(" 0.")), F.lit("{."), F.lit("{0."))
+        return F.when(F.size(F.split(y, r"\\text\{ ")) <= 2, bound(z, _named))
+
+    return bound(x, unitless)
 
 
 def math_equal(a: Column | str, b: Column | str) -> Column:
     """Equal forms; texts without a form are compared as they are."""
-    x, y = math_form(a), math_form(b)
-    return F.when(x.isNull() | y.isNull(), _c(a) == _c(b)).otherwise(x == y)
+    forms = F.struct(math_form(a).alias("x"), math_form(b).alias("y"))
+    return bound(forms, lambda f: F.when(f["x"].isNull() | f["y"].isNull(), _c(a) == _c(b)).otherwise(f["x"] == f["y"]))
 
 
 def math_score(text: Column | str, truth: Column | str) -> Column:
@@ -115,8 +137,7 @@ def final_form(text: Column | str) -> Column:
     x = F.regexp_replace(x, "frac([^{])(.)", "frac{$1}{$2}")
     x = F.regexp_replace(x, "sqrt([^{])", "sqrt{$1}")
     x = F.replace(x, F.lit("$"), F.lit(""))
-    bare = F.replace(x, F.lit(","), F.lit(""))
-    x = F.when(bare.rlike(r"^[0-9]+$"), bare).otherwise(x)
+    x = bound(x, lambda y: F.when(y.rlike("^,*[0-9][0-9,]*$"), F.replace(y, F.lit(","), F.lit(""))).otherwise(y))
     return F.trim(x, F.lit(" \t\n\r\x0b\x0c"))
 
 

@@ -101,10 +101,9 @@ def folded_contains(line: Column, pattern: str) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Full Unicode case folding; texts without such characters take the short way."""
-    single = {c: f for c, f in _full().items() if len(f) == 1}
-    out = F.translate(text, "".join(single), "".join(single.values()))
-    for c, f in _full().items():
-        if len(f) > 1:
-            out = F.replace(out, F.lit(c), F.lit(f))
-    return F.when(text.rlike(f"[{''.join(_full())}]"), F.lower(out)).otherwise(F.lower(text))
+    """Full Unicode case folding.  Texts without a character that may need it take
+    the short way; the others are folded letter by letter through a map of fixed size."""
+    folds = F.create_map(*[F.lit(x) for c, f in _full().items() for x in (c, f)])
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c))
+    # in Latin-1 only two characters have a folding of their own
+    return F.when(text.rlike("[\u00b5\u00df\u0100-\U0010ffff]"), F.lower(F.array_join(each, ""))).otherwise(F.lower(text))
