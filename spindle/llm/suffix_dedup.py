@@ -20,8 +20,8 @@ What keeps the work small, and never decides what is equal:
 
 Rows in the shuffles are packed arrays per bucket, ``_EACH`` buckets a shuffle
 partition, one of which is in memory at a time.  A frequent string is one small
-record per document; nothing is paired.  Texts are moved twice, to ``folder``s
-of documents.  Tables between passes are written to the shared folder.
+record per document; nothing is paired.  Texts are moved twice, compressed, to
+``folder``s of documents.  Tables between passes are written to the shared folder.
 
 Defined results: null text is empty; texts shorter than ``depth`` lose
 nothing.  A row without doc_id keeps its text and removes nothing elsewhere.
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ DEPTH = 50
 KEY = 20
 _FLUSH = 400_000
 _FLUSH_BYTES = 16 << 20
-_EACH = 4
+_EACH = 2
 
 
 def stretches(data: np.ndarray, offs: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
@@ -117,6 +118,25 @@ def _cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _press(data) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _expand(data) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _packed(column: pa.Array) -> pa.Array:
+    """Binary values compressed one by one: texts are moved and written so."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([None if x is None else press(x) for x in column.to_pylist()], pa.binary())
+
+
+def _plain(column: pa.Array) -> pa.Array:
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if x is None else expand(x) for x in column.to_pylist()], pa.large_binary())
+
+
 def _digits(data: np.ndarray) -> np.ndarray:
     """The eight bytes at each place as one big-endian digit."""
     n = len(data)
@@ -291,11 +311,11 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
     def to_folders(batches):
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(labels[folder_of(ids, n)], pa.int32()), *b.columns], ["folder", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(labels[folder_of(ids, n)], pa.int32()), b.column(0), _packed(b.column(1)), *b.columns[2:]], ["folder", *b.schema.names])
 
-    whole_rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+    whole_rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("binary").alias("_text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
     row_type = whole_rows.schema["_row"].dataType.simpleString()
-    text_schema = f"folder int, _id bigint, _text string, _row {row_type}"
+    text_schema = f"folder int, _id bigint, _text binary, _row {row_type}"
     foldered = whole_rows.mapInArrow(to_folders, text_schema)
     pack_schema = "bucket int, id_base bigint, ids binary, rows binary, starts binary, sizes binary, shapes binary, bytes binary"
     pack_fields = [("bucket", pa.int32()), ("id_base", pa.int64()), *[(c, pa.binary()) for c in ("ids", "rows", "starts", "sizes", "shapes", "bytes")]]
@@ -317,14 +337,14 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
             data = np.concatenate(raw)
             at0 = np.cumsum(length) - length
             for b, at in _groups(bucket):
-                packs.append((int(labels[b]), *_least(ids[at]), *[x[at].astype("<u4").tobytes() for x in (row, start)], *[x[at].astype("<u2").tobytes() for x in (length, shape)], data[ranges(at0[at], length[at])].tobytes()))
+                packs.append((int(labels[b]), *_least(ids[at]), *[x[at].astype("<u4").tobytes() for x in (row, start)], *[x[at].astype("<u2").tobytes() for x in (length, shape)], _press(data[ranges(at0[at], length[at])].tobytes())))
 
         for b in left.combine_chunks().to_batches():
             valid = b.column(1).is_valid().to_numpy(zero_copy_only=False)
             ids = b.column(1).fill_null(0).to_numpy(zero_copy_only=False)
-            for i, j, data, offs in chunks(b.column(2)):
+            for i, j, data, offs in chunks(_plain(b.column(2))) if len(keys) else ():
                 row, start, end, place, h = stretches(data, offs, depth)
-                if not len(row) or not len(keys):
+                if not len(row):
                     continue
                 mine = bucket_of(h).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
                 at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
@@ -357,7 +377,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
         parts, folders = [], []
         for folder, _, base, ids, row, start, length, shape, raw in _columns(table):
             size = np.frombuffer(length, "<u2").astype(np.int64)
-            parts.append((_whole(base, ids, len(size)), np.frombuffer(row, "<u4"), np.frombuffer(start, "<u4").astype(np.int64), size, np.frombuffer(shape, "<u2").astype(np.int64), np.frombuffer(raw, np.uint8)))
+            parts.append((_whole(base, ids, len(size)), np.frombuffer(row, "<u4"), np.frombuffer(start, "<u4").astype(np.int64), size, np.frombuffer(shape, "<u2").astype(np.int64), np.frombuffer(_expand(raw), np.uint8)))
             folders.append(np.full(len(size), folder, np.int64))
         ids, row, start, size, shape, data = (np.concatenate(x) for x in zip(*parts, strict=True))
         folder = np.concatenate(folders)
@@ -382,7 +402,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
         left = left.take(pa.array(place))
         first = 0
         for b in left.combine_chunks().to_batches():
-            for i, j, data, offs in chunks(b.column(2)):
+            for i, j, data, offs in chunks(_plain(b.column(2))):
                 a, z = np.searchsorted(row, [first + i, first + j])
                 base = offs[row[a:z] - first - i] + start[a:z]
                 covered = _cover(len(data), base, base + size[a:z])
