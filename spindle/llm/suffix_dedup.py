@@ -78,14 +78,13 @@ def stretches(data: np.ndarray, offs: np.ndarray, depth: int = DEPTH) -> tuple[n
 
 
 def _least(x: np.ndarray) -> tuple[int, bytes]:
-    """Integers as their least and 4- or 8-byte offsets from it."""
+    """Integers as their least and the offsets from it."""
     base = int(x.min())
-    rel = x - base
-    return base, rel.astype("<u4" if int(rel.max()) < 1 << 32 else "<i8").tobytes()
+    return base, _ints(x - base, "<i8")
 
 
-def _whole(base: int, raw: pa.Buffer, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if raw.size == 4 * n else "<i8").astype(np.int64) + base
+def _whole(base: int, raw: pa.Buffer) -> np.ndarray:
+    return _unints(raw, "<i8") + base
 
 
 def _groups(key: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -126,6 +125,17 @@ def _expand(data) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _ints(x: np.ndarray, kind: str) -> bytes:
+    """Integers, compressed byte plane by byte plane: most high bytes are alike."""
+    x = x.astype(kind)
+    return _press(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def _unints(raw, kind: str) -> np.ndarray:
+    planes = np.frombuffer(_expand(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return planes.T.copy().view(kind).reshape(-1)
+
+
 def _packed(column: pa.Array) -> pa.Array:
     """Binary values compressed one by one: texts are moved and written so."""
     press = zstandard.ZstdCompressor(level=3).compress
@@ -290,7 +300,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
         parts = []
         for _, base, ids, strings in _columns(table):
             h = np.frombuffer(strings, "<u4")
-            parts.append((_whole(base, ids, len(h)), h))
+            parts.append((_whole(base, ids), h))
         if not parts:
             return pa.Table.from_batches([_batch([], shared_fields)])
         ids, h = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -337,7 +347,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
             data = np.concatenate(raw)
             at0 = np.cumsum(length) - length
             for b, at in _groups(bucket):
-                packs.append((int(labels[b]), *_least(ids[at]), *[x[at].astype("<u4").tobytes() for x in (row, start)], *[x[at].astype("<u2").tobytes() for x in (length, shape)], _press(data[ranges(at0[at], length[at])].tobytes())))
+                packs.append((int(labels[b]), *_least(ids[at]), *[_ints(x[at], "<u4") for x in (row, start)], *[_ints(x[at], "<u2") for x in (length, shape)], _press(data[ranges(at0[at], length[at])].tobytes())))
 
         for b in left.combine_chunks().to_batches():
             valid = b.column(1).is_valid().to_numpy(zero_copy_only=False)
@@ -376,8 +386,8 @@ def dedup(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -> DataFra
     def sort_bucket(table):
         parts, folders = [], []
         for folder, _, base, ids, row, start, length, shape, raw in _columns(table):
-            size = np.frombuffer(length, "<u2").astype(np.int64)
-            parts.append((_whole(base, ids, len(size)), np.frombuffer(row, "<u4"), np.frombuffer(start, "<u4").astype(np.int64), size, np.frombuffer(shape, "<u2").astype(np.int64), np.frombuffer(_expand(raw), np.uint8)))
+            size = _unints(length, "<u2").astype(np.int64)
+            parts.append((_whole(base, ids), _unints(row, "<u4"), _unints(start, "<u4").astype(np.int64), size, _unints(shape, "<u2").astype(np.int64), np.frombuffer(_expand(raw), np.uint8)))
             folders.append(np.full(len(size), folder, np.int64))
         ids, row, start, size, shape, data = (np.concatenate(x) for x in zip(*parts, strict=True))
         folder = np.concatenate(folders)
