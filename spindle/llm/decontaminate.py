@@ -22,8 +22,9 @@ Defined results: null and empty texts match nothing; items that are null or
 shorter than ``SHORTEST`` bytes are no evidence and match nothing.  Rows are
 judged one by one, so repeated rows are reported alike.  A match is reported
 once per row and item_id, at its first place: the bytes of the first windows
-that match and touch, by alignment.  Inside stretches of a period of up to Q
-bytes only the two ends are searched: what matches inside matches there too.
+that match and touch, by alignment.  Inside stretches of a text that repeat a
+period of up to Q bytes only the two ends are searched: what matches inside
+matches there too, and a match there is continued through the stretch.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ Q = 8
 WINDOW = 64
 EDITS = 5
 BAND = 8
+REACH = WINDOW + 2 * EDITS
 SHORTEST = 32
 BLOCK_BYTES = 8 << 20
-#: Pairs of a place and a posting that are held at once.
+#: Pairs of a place and a posting that are held at once, besides the overlap of slices.
 SLICE = 1 << 21
 _TABLE_BITS = 22
 _PLAIN = LOWER.copy()
@@ -76,6 +78,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in items]
         self.texts = [_PLAIN[np.frombuffer(t, np.uint8)] for _, t in items]
+        self.size = np.array([len(t) for t in self.texts], np.int64)
         grams = [_grams(t) for t in self.texts]
         every = np.concatenate([np.zeros(0, np.uint64), *grams])
         item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
@@ -116,26 +119,32 @@ def distance(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def _inside_runs(data: np.ndarray, reach: int) -> np.ndarray:
-    """Places deep inside periodic stretches (period 1 to Q): what matches there
-    also matches, shifted by periods, near the stretch's beginning."""
-    deep = np.zeros(len(data), bool)
+def _stretches(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, period) of the stretches of a period of 1 to Q bytes, within one
+    text, that are longer than four times what a window can reach."""
+    out = []
     for p in range(1, Q + 1):
         if len(data) <= p:
             break
         same = np.concatenate([[False], data[p:] == data[:-p], [False]])
+        # bytes of different texts are not compared
+        for k in range(1, p + 1):
+            last = offs[1:-1] - k
+            same[last[(last >= 0) & (last < len(data) - p)] + 1] = False
         edge = np.flatnonzero(same[1:] != same[:-1])
         begin, end = edge[::2], edge[1::2] + p  # the stretch is data[begin:end]
-        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-            if b - a > 4 * reach:
-                deep[a + 2 * reach : b - 2 * reach] = True
-    return deep
+        long = end - begin > 4 * REACH
+        out.append((begin[long], end[long], np.full(int(long.sum()), p)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def find(index: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(row, item number, start, end) of the matches in a chunk of texts: the
-    first place of each item in a text, byte offsets within the text.  Places and
-    postings are paired in slices of at most ``SLICE`` pairs, which overlap by a window's reach."""
+    first place of each item in a text, byte offsets within the text.  A text's
+    matches hang on the text and the item alone, not on what else is in the chunk
+    or the index.  Places and postings are paired in slices of about ``SLICE``
+    pairs, which overlap by what a window can reach; the windows to align are
+    gathered from all slices first."""
     if not len(data) or not len(index.gram):
         return []
     data = _PLAIN[data]
@@ -156,21 +165,31 @@ def find(index: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, in
     row = np.searchsorted(offs, at, side="right") - 1
     whole = at + Q <= offs[row + 1]
     at, k, row = at[whole], k[whole], row[whole]
+    if not len(at):
+        return []
+    # what matches deep inside a stretch also matches, shifted by periods, near its beginning
+    begins, ends, periods = _stretches(data, offs)
+    if len(begins):
+        deep = np.zeros(len(data) + 1, np.int32)
+        np.add.at(deep, begins + 2 * REACH, 1)
+        np.add.at(deep, ends - 2 * REACH, -1)
+        keep = np.cumsum(deep)[at] == 0
+        at, k, row = at[keep], k[keep], row[keep]
     n_of = index.first[k + 1] - index.first[k]
-    if int(n_of.sum()) > len(data):
-        keep = ~_inside_runs(data, index.reach)[at]
-        at, k, row, n_of = at[keep], k[keep], row[keep], n_of[keep]
-    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
     pairs = np.concatenate([[0], np.cumsum(n_of)])
-    a = 0
+    a, regions = 0, [np.zeros((5, 0), np.int64)]
     while a < len(at):
         b = min(len(at), max(a + 1, int(np.searchsorted(pairs, pairs[a] + SLICE, side="right")) - 1))
-        # the slice ends with all places that a window begun in it can reach
-        stop = int(np.searchsorted(at, at[b - 1] + index.reach + Q, side="right"))
-        _regions(index, data, offs, at[a:stop], k[a:stop], row[a:stop], n_of[a:stop], spans)
+        # the slice holds all places that a window begun in it can reach, and what these can reach
+        begin = int(np.searchsorted(at, at[a] - index.reach - Q))
+        stop = int(np.searchsorted(at, at[b - 1] + 2 * (index.reach + Q), side="right"))
+        regions.append(_regions(index, offs, at[begin:stop], k[begin:stop], row[begin:stop], n_of[begin:stop]))
         a = b
+    spans = _verify(index, data, offs, np.concatenate(regions, axis=1))
     out = []
     for (r, i), found in sorted(spans.items()):
+        base = int(offs[r])
+        found = [_shifted(x, y, base, begins, ends, periods) for x, y in found] if len(begins) else found
         found.sort()
         first, last = found[0]
         for begin, end in found[1:]:
@@ -181,55 +200,91 @@ def find(index: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def _regions(index: Index, data: np.ndarray, offs: np.ndarray, at: np.ndarray, k: np.ndarray, row: np.ndarray, n_of: np.ndarray, spans: dict) -> None:
-    """Add the verified places of items among some places of the text to ``spans``."""
+def _shifted(begin: int, end: int, base: int, begins: np.ndarray, ends: np.ndarray, periods: np.ndarray) -> tuple[int, int]:
+    """A match, with all its copies in the stretch that it lies in."""
+    for k in np.flatnonzero((begins <= base + begin) & (base + end <= ends)):
+        p = int(periods[k])
+        return begin - (base + begin - int(begins[k])) // p * p, end + (int(ends[k]) - base - end) // p * p
+    return begin, end
+
+
+def _regions(index: Index, offs: np.ndarray, at: np.ndarray, k: np.ndarray, row: np.ndarray, n_of: np.ndarray) -> np.ndarray:
+    """Rows, items, bands, and first and last windows to align, of some places of the text."""
+    none = np.zeros((5, 0), np.int64)
     post = ranges(index.first[k], n_of)
     at, row = np.repeat(at, n_of), np.repeat(row, n_of)
     item, place = index.item[post], index.place[post]
+    # the lemma's number of places for the item itself, in its own reach
+    order = np.argsort(row * len(index.ids) + item, kind="stable")
+    at, row, item, place = at[order], row[order], item[order], place[order]
+    other = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    new = np.concatenate([[True], other | (at[1:] != at[:-1])])
+    u = np.flatnonzero(new)
+    end = np.arange(len(u)) + index.least[item[u]] - 1
+    run = np.flatnonzero(end < len(u))
+    end = end[run]
+    near = (row[u[end]] == row[u[run]]) & (item[u[end]] == item[u[run]]) & (at[u[end]] - at[u[run]] <= index.window[item[u[run]]] + 2 * index.edits[item[u[run]]])
+    step = np.zeros(len(u) + 1, np.int32)
+    np.add.at(step, run[near], 1)
+    np.add.at(step, end[near] + 1, -1)
+    keep = (np.cumsum(step[:-1]) > 0)[np.cumsum(new) - 1]
+    at, row, item, place = at[keep], row[keep], item[keep], place[keep]
+    if not len(row):
+        return none
     diagonal = at - offs[row] - place
     # a diagonal lies in two overlapping bands
     band = np.concatenate([diagonal // BAND, diagonal // BAND - 1])
     row, item, place = (np.concatenate([x, x]) for x in (row, item, place))
     order = np.lexsort((place, band, item, row))
     row, item, band, place = row[order], item[order], band[order], place[order]
-    if len(row):
-        group = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-        once = np.concatenate([[True], group | (place[1:] != place[:-1])])
-        row, item, band, place = row[once], item[once], band[once], place[once]
-    if not len(row):
-        return
+    group = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+    once = np.concatenate([[True], group | (place[1:] != place[:-1])])
+    row, item, band, place = row[once], item[once], band[once], place[once]
     group = np.concatenate([[0], np.cumsum((row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1]))])
     # runs of the lemma's number of q-grams within a window of the item
     run = np.arange(len(row))
     end = run + index.least[item] - 1
     run, end = run[end < len(row)], end[end < len(row)]
-    good = (group[end] == group[run]) & (place[end] - place[run] <= index.window[item[run]] - Q)
-    run, end = run[good], end[good]
+    window = index.window[item[run]]
+    good = (group[end] == group[run]) & (place[end] - place[run] <= window - Q)
+    run, end, window = run[good], end[good], window[good]
+    # all windows of the item that hold a run
+    low, high = np.maximum(0, place[end] + Q - window), np.minimum(place[run], index.size[item[run]] - window)
+    held = low <= high
+    run, low, high = run[held], low[held], high[held]
     if not len(run):
-        return
-    new = np.flatnonzero(np.concatenate([[True], group[run[1:]] != group[run[:-1]]]))
-    for x, y in zip(new, [*new[1:], len(run)], strict=True):
-        a = run[x]
-        i = int(item[a])
+        return none
+    new = np.flatnonzero(np.concatenate([[True], (group[run[1:]] != group[run[:-1]]) | (low[1:] > high[:-1] + 1)]))
+    at = run[new]
+    return np.stack([row[at], item[at], band[at], low[new], high[np.append(new[1:], len(run)) - 1]])
+
+
+def _verify(index: Index, data: np.ndarray, offs: np.ndarray, regions: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """The places of items in rows, by alignment of the windows of ``regions``."""
+    row, item, band, lows, highs = regions[:, np.lexsort(regions[::-1])]
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    if not len(row):
+        return spans
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
+    for x, y in zip(new, [*new[1:], len(row)], strict=True):
+        i, r = int(item[x]), int(row[x])
         window, edits = int(index.window[i]), int(index.edits[i])
-        r, base = int(row[a]), int(offs[row[a]])
+        base, size = int(offs[r]), int(offs[r + 1] - offs[r])
         text = index.texts[i]
         found = spans.setdefault((r, i), [])
-        low, high = int(band[a]) * BAND, (int(band[a]) + 2) * BAND
-        # all windows of the item that hold a run
-        first, stop = place[run[x:y]], place[end[x:y]]
+        low, high = int(band[x]) * BAND, (int(band[x]) + 2) * BAND
         mark = np.zeros(len(text) + 2, np.int32)
-        np.add.at(mark, np.maximum(0, stop + Q - window), 1)
-        np.add.at(mark, np.maximum(np.minimum(first, len(text) - window) + 1, np.maximum(0, stop + Q - window)), -1)
+        np.add.at(mark, lows[x:y], 1)
+        np.add.at(mark, highs[x:y] + 1, -1)
         after, seen = -1, np.flatnonzero(np.cumsum(mark) > 0).tolist()
         for s in seen:
             # what a band before this one, or half a window ago, has shown is not aligned again; the last window gives the end
             if s != seen[-1] and (s < after or any(b <= s + high and s + low + window <= e + edits for b, e in found)):
                 continue
-            begin, stop_ = max(0, s + low - edits), min(int(offs[row[a] + 1]) - base, s + window + high + edits)
-            if stop_ <= begin:
+            begin, stop = max(0, s + low - edits), min(size, s + window + high + edits)
+            if stop <= begin:
                 continue
-            pattern, part = text[s : s + window].tobytes(), data[base + begin : base + stop_].tobytes()
+            pattern, part = text[s : s + window].tobytes(), data[base + begin : base + stop].tobytes()
             d, last = distance(pattern, part)
             if d <= edits:
                 _, length = distance(pattern[::-1], part[:last][::-1])
@@ -237,6 +292,7 @@ def _regions(index: Index, data: np.ndarray, offs: np.ndarray, at: np.ndarray, k
                 after = s + window // 2
         if not found:
             del spans[r, i]
+    return spans
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:

@@ -219,6 +219,24 @@ def test_slices_find_the_same(monkeypatch):
     assert {(r, i) for r, i, _, _ in first_place(items, texts)} == want and len(want) >= 20
 
 
+def test_matches_hang_on_text_and_item_alone(monkeypatch):
+    """The same places alone, in one chunk with others, beside other items, and in any slices."""
+    rng = random.Random(8)
+    items = ["ab" * 40, "-" * 200, "".join(rng.choice("ab ") for _ in range(90)), "abcabcab" * 9, " " * 40, "".join(rng.choice("abcdefgh ") for _ in range(33))]
+    texts = ["ab" * 50] * 30 + ["-" * 70, "x " + "ab" * 600 + " and an end", items[2] * 3]
+    for _ in range(60):
+        parts = [rng.choice([rng.choice(items), rng.choice(["ab", "-", "abc", "a b "]) * rng.randint(1, 400), "".join(rng.choice("ab ") for _ in range(rng.randint(0, 99)))]) for _ in range(rng.randint(1, 4))]
+        texts.append("".join(parts)[rng.randint(0, 9) :])
+    texts += ["".join(f"w{rng.random()} " for _ in range(20_000)), "", "ab"]
+    alone = [(r, i, a, b) for r, t in enumerate(texts) for i, x in enumerate(items) for _, _, a, b in first_place([x], [t])]
+    assert first_place(items, texts) == alone
+    assert [(r, a, b) for r, i, a, b in alone if i == 0 and r < 30] == [(r, 0, 100) for r in range(30)]
+    assert [(a, b) for r, i, a, b in alone if (r, i) == (31, 0)] == [(2, 1202)]
+    for size in (100, 3000):
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        assert first_place(items, texts) == alone
+
+
 def test_several_blocks_and_repeated_items(spark, monkeypatch):
     rng = random.Random(6)
     items = [(k // 2, "".join(rng.choice("abcdefgh ") for _ in range(80))) for k in range(12)]
