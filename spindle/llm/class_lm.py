@@ -10,9 +10,14 @@ class of their last byte, in ``ROUNDS`` rounds of distributed exchange: a turn
 counts one of ``PARTS`` parts of the words before and after each class,
 summed by blocks of words, and a block moves its words one after another (all
 words at once would overshoot); the classes of the turn with the highest
-likelihood are used.  Words that are not in the table of
-``FREQUENT`` words are in the class of their last byte.  A text's score is the
-sum over its tokens of
+likelihood are used.
+
+All other words that training holds, however rare, are moved once, in buckets
+by hash: a bucket has the classes before and after each occurrence of its words
+and moves these in blocks, most frequent first, out of the class of their last
+byte where the likelihood gains.  Each text then gets the classes of its words
+back, and the class bigrams are counted anew.  Words that training does not hold
+are in the class of their last byte.  A text's score is the sum over its tokens of
 
     log10 P(class | class of the token before) + log10 P(token | class),
 
@@ -21,9 +26,9 @@ first token.  Counts are exact over all training documents:
 
 * ``FREQUENT`` words (a bounded table, broadcast) are counted and scored where
   the text is read;
-* all other words go to buckets by hash, a bucket counts its words and returns
-  per text the sum of the logarithms; only these are moved, and they grow with
-  the corpus.
+* all other words go to buckets by hash, a bucket counts its words, moves them and
+  returns per occurrence its word's count and class; only these are moved, and they
+  grow with the corpus.
 
 Words are known by 64-bit hashes of their bytes.
 
@@ -42,7 +47,7 @@ from pyspark.sql import functions as F
 
 from spindle.llm.store import Workspace, even_labels, release, shuffle_partitions
 from spindle.llm.packed import folder_of, open_, put, rows as packed_rows
-from spindle.llm.textnum import LOWER, chunks, span_hashes, splitmix, word_spans
+from spindle.llm.textnum import LOWER, chunks, span_hashes, splitmix, text_buffers, word_spans
 
 FREQUENT = 1 << 16
 CLUSTERED = 512
@@ -52,8 +57,10 @@ FIRST_ROUNDS = 30
 ROUNDS = 2
 PARTS = 3
 _FLUSH = 400_000
+_BLOCK = 512  # words beyond the table that are moved at a time
 _SEEN = 4  # a frequent word occurs so often in some stretch of _STRETCH words
 _STRETCH = 400_000
+_RARE = 255  # stands in a text's classes for a word outside the table
 
 #: Class of a word by its last byte.
 SHAPE = np.full(256, 2, np.uint8)
@@ -155,6 +162,68 @@ def move(joint: np.ndarray, of: np.ndarray, out: np.ndarray, into: np.ndarray, o
     return of
 
 
+def move_rest(joint: np.ndarray, own: np.ndarray, word: np.ndarray, before: np.ndarray, after: np.ndarray, same: np.ndarray, classes: int, share: int) -> np.ndarray:
+    """New classes of words with classes ``own``, beyond the first ``classes``, given
+    for each occurrence its word, the classes of its neighbours and whether the
+    next word is the same.  A word moves to the one of the first ``classes`` that
+    raises the likelihood most, if any does.  These words are one part in ``share``
+    of all that move at a time, so the bigrams ``joint`` follow ``share``-fold."""
+    joint, new, total = joint.astype(float), own.copy(), len(joint)
+    n = np.bincount(word, minlength=len(own))
+    by = np.argsort(-n, kind="stable")
+    rank = np.empty(len(own), np.int64)
+    rank[by] = np.arange(len(own))
+    rank = rank[word]
+    order = np.argsort(rank, kind="stable")
+    rank, before, after, same = rank[order], before[order].astype(np.int64), after[order].astype(np.int64), same[order]
+    upto = np.append(0, np.cumsum(n[by]))
+    k = np.arange(classes)
+    a, size = 0, 1
+    while a < len(own):
+        b = min(len(own), a + size)
+        size = min(2 * size, _BLOCK)
+        m, part = b - a, slice(upto[a], upto[b])
+        w, c, times = rank[part] - a, own[by[a:b]], n[by[a:b]]
+        each = np.arange(m)
+        out = np.bincount(w * total + after[part], minlength=m * total).reshape(m, total).astype(float)
+        into = np.bincount(w * total + before[part], minlength=m * total).reshape(m, total).astype(float)
+        self_ = np.bincount(w, same[part], minlength=m)
+        out[each, c] -= self_
+        into[each, c] -= self_
+        r, s = joint.sum(axis=1), joint.sum(axis=0)
+        # likelihood gained, from the state without the word, by putting it into each class, and by leaving it
+        d = joint[k, k]
+        gain = _h(d + out[:, :classes] + into[:, :classes] + self_[:, None]) - _h(d)
+        gain -= _h(r[k] + times[:, None]) - _h(r[k]) + _h(s[k] + times[:, None]) - _h(s[k])
+        d = joint[c, c]
+        stay = _h(d) - _h(d - out[each, c] - into[each, c] - self_)
+        stay -= _h(r[c]) - _h(r[c] - times) + _h(s[c]) - _h(s[c] - times)
+        for cells, one, other in ((joint, out, into), (joint.T, into, out)):
+            x, y = np.nonzero(one)
+            add, mine = one[x, y], y == c[x]
+            base = cells[:classes, y].T - mine[:, None] * other[x, :classes]
+            more = _h(base + add[:, None]) - _h(base)
+            diagonal = np.flatnonzero(y < classes)
+            more[diagonal, y[diagonal]] = 0
+            base = cells[c[x], y]
+            less = np.where(mine, 0, _h(base) - _h(base - add))
+            first = np.searchsorted(x, each)  # every word has a neighbour that is not itself
+            gain += np.add.reduceat(more, first)
+            stay += np.add.reduceat(less, first)
+        best = np.argmax(gain, axis=1)
+        moved = np.flatnonzero(gain[each, best] > stay + 1e-9)
+        old, best = c[moved], best[moved]
+        new[by[a + moved]] = best
+        for cells, one in ((joint, out), (joint.T, into)):
+            np.subtract.at(cells, old, share * one[moved])
+            np.add.at(cells, best, share * one[moved])
+        np.subtract.at(joint, (old, old), share * self_[moved])
+        np.add.at(joint, (best, best), share * self_[moved])
+        np.maximum(joint, 0, out=joint)
+        a = b
+    return new
+
+
 def _spread(work: Workspace, texts: DataFrame, shared, of: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all frequent words, begun from ``of``, and the class bigrams under them."""
     spark = work.spark
@@ -292,12 +361,17 @@ def _units(first: np.ndarray, at: np.ndarray, unit_of: np.ndarray, shape: np.nda
     """The units of all tokens of a chunk, each text led by an end, and the places of these."""
     unit = unit_of[at]
     unit = np.where(unit < 0, words + shape.astype(np.int64), unit)
+    return _led(unit, first, words + SHAPES)
+
+
+def _led(units: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all tokens of some texts, each led by an end, and the places of these."""
     n = len(first) - 1
-    out = np.full(len(unit) + n, words + SHAPES)
+    out = np.full(len(units) + n, end)
     lead = first[:-1] + np.arange(n)
     inner = np.ones(len(out), bool)
     inner[lead] = False
-    out[inner] = unit
+    out[inner] = units
     return out, lead
 
 
@@ -357,122 +431,167 @@ def score(docs: DataFrame, train: Column, held_out: Column) -> DataFrame:
     if len(known) > words:
         word_class, joint = _spread(work, learned.select("_text"), shared, word_class, total)
     word_class = word_class.astype(np.int64)
-    transition = np.log10((joint + 0.5) / (joint.sum(axis=1, keepdims=True) + 0.5 * total))
 
     labels = np.array(even_labels(spark, shuffle_partitions(spark)))
     n = len(labels)
+    model = spark.sparkContext.broadcast((known, np.append(word_class, -1), joint))
 
     def file_rare(batches):
-        known = shared.value
+        known, class_of, _ = model.value
         held, size = [], 0
 
         def out():
-            h, key, n_of, shape, learn = (np.concatenate(x) for x in zip(*held, strict=True))
-            return packed_rows(put(labels, h % np.uint64(n), key, h, n_of, shape, learn), ["bucket", "base", "keys", "word", "n", "shape", "learn"])
+            h, key, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            return packed_rows(put(labels, h % np.uint64(n), key, h, *rest), ["bucket", "base", "keys", "word", "place", "shape", "flags", "before", "after"])
 
         for b in batches:
             ids = _ids(b.column(0))
             learn = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
             for i, j, first, h, shape, whole in _words(b.column(2)):
-                rare = np.flatnonzero(_lookup(known, h) == len(known))
+                at = _lookup(known, h)
+                rare = np.flatnonzero(at == len(known))
                 row = np.searchsorted(first, rare, side="right") - 1
-                order = np.lexsort((h[rare], row))
-                rare, row = rare[order], row[order]
-                w = h[rare]
-                new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (row[1:] != row[:-1])])) if len(w) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(w)))
-                held.append((w[new], _key(ids[i:j], whole)[row[new]], times.astype("<u4"), shape[rare[new]], learn[i:j][row[new]]))
-                size += len(new)
+                c, _ = _units(first, at, class_of, shape, classes)
+                c = np.append(c, total - 1).astype(np.uint8)
+                place = np.arange(len(rare)) - np.searchsorted(rare, first[:-1])[row]
+                same = (rare + 1 < first[row + 1]) & (np.append(h, np.uint64(0))[rare + 1] == h[rare])
+                flags = learn[i:j][row] + 2 * same.astype(np.uint8)
+                held.append((h[rare], _key(ids[i:j], whole)[row], place.astype("<u4"), shape[rare], flags, c[rare + row], c[rare + row + 2]))
+                size += len(rare)
                 if size >= _FLUSH:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
-    def bucket_sums(table):
-        key, h, times, shape, learn = open_(table, "<u8", "<u4", "u1", "u1")
-        order = np.lexsort((key, h))
-        key, h, times, shape, learn = key[order], h[order], times[order].astype(np.int64), shape[order], learn[order]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        stats = np.zeros(2 * SHAPES, np.int64)
-        rows = []
+    def bucket_classes(table):
+        key, h, place, shape, flags, before, after = open_(table, "<u8", "<u4", "u1", "u1", "u1", "u1")
+        order = np.lexsort((place, key, h))
+        key, h, place, flags = key[order], h[order], place[order], flags[order]
+        stats, rows = np.zeros((2, total), np.int64), []
         if len(h):
-            c = np.add.reduceat(times * learn, new)
-            stats[:SHAPES] = np.bincount(shape[new], c > 0, SHAPES)[:SHAPES]
-            stats[SHAPES:] = np.bincount(shape[new], c, SHAPES)[:SHAPES]
-            of = np.repeat(c, np.diff(np.append(new, len(h))))
-            once = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])  # rows repeated in full: one answer for all
-            key, value, hit = key[once], (times * np.log10(of + 0.1))[once], (times * (of > 0))[once]
-            order = np.argsort(key, kind="stable")
-            key, value, hit = key[order], value[order], hit[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, value, hit = key[first], np.add.reduceat(value, first), np.add.reduceat(hit, first)
-            rows = put(labels, folder_of(key, n), key, value, hit)
-        return pa.Table.from_batches([packed_rows([*rows, (-1, 0, b"", stats.tobytes(), b"")], ["folder", "base", "keys", "value", "hit"])])
-
-    filed = source.select("doc_id", "_train", "_text").mapInArrow(file_rare, "bucket int, base bigint, keys binary, word binary, n binary, shape binary, learn binary")
-    answers = work.write(filed.groupBy("bucket").applyInArrow(bucket_sums, "folder int, base bigint, keys binary, value binary, hit binary"), "rare", "none")
+            step = np.concatenate([[True], h[1:] != h[:-1]])
+            word, new = np.cumsum(step) - 1, np.flatnonzero(step)
+            learn = (flags & 1).astype(np.int64)
+            c = np.add.reduceat(learn, new)
+            of = classes + shape[order[new]].astype(np.int64)
+            if c.any():
+                at = np.flatnonzero(learn)
+                of[c > 0] = move_rest(model.value[2], of[c > 0], (np.cumsum(c > 0) - 1)[word[at]], before[order[at]], after[order[at]], flags[at] >> 1, classes, n)
+            stats[0] = np.bincount(of, c, total)
+            stats[1] = np.bincount(of, c > 0, total)
+            # rows repeated in full: one answer for all
+            once = np.flatnonzero(step | np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
+            rows = put(labels, folder_of(key[once], n), key[once], place[once], of[word[once]].astype(np.uint8), c[word[once]].astype("<u4"))
+        return pa.Table.from_batches([packed_rows([*rows, (-1, 0, b"", stats.tobytes(), b"", b"")], ["folder", "base", "keys", "place", "class", "n"])])
+
+    filed = source.select("doc_id", "_train", "_text").mapInArrow(file_rare, "bucket int, base bigint, keys binary, word binary, place binary, shape binary, flags binary, before binary, after binary")
+    answers = work.write(filed.groupBy("bucket").applyInArrow(bucket_classes, "folder int, base bigint, keys binary, place binary, class binary, n binary"), "rare", "lz4")
     release(spark)
     # one row per bucket
-    stats = np.sum([np.frombuffer(r["value"], np.int64) for r in answers.where("folder = -1").select("value").collect()] or [np.zeros(2 * SHAPES, np.int64)], axis=0)
-
-    def sums(table):
-        key, value, hit = open_(table, "<f8", "<i8")
-        u, at = np.unique(key, return_inverse=True)
-        # sorted so that the sum does not hang on the order of arrival
-        order = np.lexsort((value, at))
-        first = np.searchsorted(at[order], np.arange(len(u)))
-        return pa.table({"_key": u, "_value": np.add.reduceat(value[order], first) if len(u) else value, "_hit": np.add.reduceat(hit[order], first) if len(u) else hit})
+    stats = np.sum([np.frombuffer(r["place"], np.int64) for r in answers.where("folder = -1").select("place").collect()] or [np.zeros(2 * total, np.int64)], axis=0)
 
-    rare = answers.where("folder >= 0").groupBy("folder").applyInArrow(sums, "_key bigint, _value double, _hit bigint")
+    def by_text(table):
+        key, place, of, c = open_(table, "<u4", "u1", "<u4")
+        order = np.lexsort((place, key))
+        key, of, c = key[order], of[order], c[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        value, hit = (np.add.reduceat(x, first) if len(key) else x for x in (np.log10(c + 0.1), (c > 0).astype(np.int64)))
+        return pa.table({"_key": key[first], "_value": value, "_hit": hit, "_classes": _bytes(of, np.append(first, len(key)))})
 
-    big_v = int((counts > 0).sum() + stats[:SHAPES].sum() + (train_docs > 0))
-    big_n = int(counts.sum() + stats[SHAPES:].sum() + train_docs)
-    class_n, class_v = np.zeros(total), np.zeros(total)
-    np.add.at(class_n, word_class, counts)
-    np.add.at(class_v, word_class, counts > 0)
-    class_n[classes : classes + SHAPES] += stats[SHAPES:]
-    class_v[classes : classes + SHAPES] += stats[:SHAPES]
-    norm = np.log10(class_n + 0.1 * (class_v + 1))
-    norm[-1] = 0.0
-    base_norm = float(np.log10(big_n + 0.1 * (big_v + 1)))
-    end_log = float(np.log10(train_docs + 0.1))
+    rare = answers.where("folder >= 0").groupBy("folder").applyInArrow(by_text, "_key bigint, _value double, _hit bigint, _classes binary")
     logs = np.append(np.log10(counts + 0.1), 0.0)  # rare words: their buckets have it
-    model = spark.sparkContext.broadcast((known, np.append(word_class, -1), transition, norm, logs))
+    log_shared = spark.sparkContext.broadcast(logs)
 
-    def apply(batches):
-        known, class_of, transition, norm, logs = model.value
+    def encode(batches):
+        known, class_of, _ = model.value
+        logs = log_shared.value
+        class_of = np.where(class_of < 0, _RARE, class_of).astype(np.uint8)
         for b in batches:
             ids = _ids(b.column(0))
-            cols = [np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows)]
-            for i, j, first, h, shape, whole in _words(b.column(2)):
+            cols = [np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)]
+            seq = [np.zeros(0, np.uint8)]
+            for i, j, first, h, _, whole in _words(b.column(3)):
                 at = _lookup(known, h)
-                c, lead = _units(first, at, class_of, shape, classes)
-                after = np.append(c[1:], total - 1)  # the class of the next token; the end after the last word
-                step = transition[c, after] - norm[after]
                 size = np.diff(first)
-                words_log = np.add.reduceat(np.append(logs[at], 0.0), first[:-1]) * (size > 0)
                 cols[0][i:j] = _key(ids[i:j], whole)
                 cols[1][i:j] = size + 1
                 cols[2][i:j] = np.add.reduceat(np.append(at < len(known), False).astype(np.int64), first[:-1]) * (size > 0)
-                cols[3][i:j] = words_log
-                cols[4][i:j] = np.add.reduceat(step, lead) + words_log
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols)], ["doc_id", "held_out", "_key", "n_tokens", "_known", "_logs", "_score"])
+                cols[3][i:j] = np.add.reduceat(np.append(logs[at], 0.0), first[:-1]) * (size > 0)
+                seq.append(class_of[at])
+            ends = np.append(0, np.cumsum(cols[1] - 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *map(pa.array, cols), _bytes(np.concatenate(seq), ends)], ["doc_id", "held_out", "_train", "_key", "n_tokens", "_known", "_logs", "_seq"])
+
+    def fill(batches):
+        for b in batches:
+            seq, offs = text_buffers(b.column(6))
+            of, _ = text_buffers(b.column(7))
+            seq = seq.copy()
+            seq[seq == _RARE] = of
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], _bytes(seq, offs)], [*b.schema.names[:6], "_seq"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = source.select("doc_id", "_held", "_text").mapInArrow(apply, f"doc_id {id_type}, held_out boolean, _key bigint, n_tokens bigint, _known bigint, _logs double, _score double")
+    head = f"doc_id {id_type}, held_out boolean, _train boolean"
+    encoded = source.select("doc_id", "_held", "_train", "_text").mapInArrow(encode, f"{head}, _key bigint, n_tokens bigint, _known bigint, _logs double, _seq binary")
     value, hit = F.coalesce("_value", F.lit(0.0)), F.coalesce("_hit", F.lit(0))
-    return scored.join(rare, "_key", "left").select(
+    joined = encoded.join(rare, "_key", "left").select("doc_id", "held_out", "_train", "n_tokens", (F.col("_known") + hit).alias("_known"), (F.col("_logs") + value).alias("_logs"), "_seq", "_classes")
+    texts = work.write(joined.mapInArrow(fill, f"{head}, n_tokens bigint, _known bigint, _logs double, _seq binary"), "texts")
+    work.drop(answers)
+    release(spark)
+
+    def bigrams_of(batches):
+        counted = np.zeros(total * total, np.int64)
+        for b in batches:
+            for _, _, seq, offs in chunks(b.column(0)):
+                c, _ = _led(seq, offs, total - 1)
+                counted += np.bincount(c * total + np.append(c[1:], total - 1), minlength=total * total)
+        at = np.flatnonzero(counted)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counted[at])], ["at", "n"])
+
+    joint = np.zeros(total * total)
+    table = texts.where("_train").select("_seq").mapInArrow(bigrams_of, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    if table.num_rows:
+        joint[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    joint = joint.reshape(total, total)
+    transition = np.log10((joint + 0.5) / (joint.sum(axis=1, keepdims=True) + 0.5 * total))
+
+    big_v = int((counts > 0).sum() + stats[total:].sum() + (train_docs > 0))
+    big_n = int(counts.sum() + stats[:total].sum() + train_docs)
+    class_n, class_v = stats[:total].astype(float), stats[total:].astype(float)
+    np.add.at(class_n, word_class, counts)
+    np.add.at(class_v, word_class, counts > 0)
+    norm = np.log10(class_n + 0.1 * (class_v + 1))
+    norm[-1] = 0.0
+    base_norm = float(np.log10(big_n + 0.1 * (big_v + 1)))
+    end_log = float(np.log10(train_docs + 0.1))
+    last_shared = spark.sparkContext.broadcast((transition, norm))
+
+    def apply(batches):
+        transition, norm = last_shared.value
+        for b in batches:
+            steps = np.zeros(b.num_rows)
+            for i, j, seq, offs in chunks(b.column(5)):
+                c, lead = _led(seq, offs, total - 1)
+                following = np.append(c[1:], total - 1)  # the class of the next token; the end after the last word
+                steps[i:j] = np.add.reduceat(transition[c, following] - norm[following], lead)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(steps)], [*b.schema.names[:5], "_steps"])
+
+    scored = texts.select("doc_id", "held_out", "n_tokens", "_known", "_logs", "_seq").mapInArrow(apply, f"doc_id {id_type}, held_out boolean, n_tokens bigint, _known bigint, _logs double, _steps double")
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("_known") + hit + F.lit(int(train_docs > 0))).cast("bigint").alias("n_known"),
+        (F.col("_known") + F.lit(int(train_docs > 0))).cast("bigint").alias("n_known"),
         F.lit(big_n).cast("bigint").alias("train_tokens"),
-        (F.col("_logs") + value + F.lit(end_log) - F.col("n_tokens") * F.lit(base_norm)).alias("base_score"),
-        (F.col("_score") + value).alias("score"),
+        (F.col("_logs") + F.lit(end_log) - F.col("n_tokens") * F.lit(base_norm)).alias("base_score"),
+        (F.col("_steps") + F.col("_logs")).alias("score"),
     )
 
 
+def _bytes(data: np.ndarray, offs: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype("<i8")), pa.py_buffer(data.astype(np.uint8))]).cast(pa.binary())
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     if pa.types.is_integer(column.type):
         return column.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)

@@ -464,6 +464,47 @@ def test_classes_of_words_beyond_the_first(spark, monkeypatch):
     assert got[100] > got[101] + 20
 
 
+def test_classes_of_words_beyond_the_table(spark, monkeypatch):
+    """The same, for words that the table does not hold: no word that training holds is left in the class of its last byte."""
+    monkeypatch.setattr(class_lm, "FREQUENT", 8)
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
+    rng = random.Random(6)
+    a, b = [f"a{i}x" for i in range(40)], [f"b{i}x" for i in range(40)]
+    often = [0] * 400 + [1] * 400 + [2] * 400 + [3] * 400 + list(range(4, 40)) * 4
+    rows = [(i, " ".join(f"{a[rng.choice(often)]} {b[rng.choice(often)]}" for _ in range(50))) for i in range(100)]
+    rare = [f"{x} {b[k % 4]} {a[k % 4]} {y}" for k, (x, y) in enumerate(zip(a[4:], b[4:], strict=True))]
+    rows += [(i, t) for i, t in enumerate(rare, 200)]
+    rows += [(100, " ".join(f"{x} {y}" for x, y in zip(a[4:], b[4:], strict=True))), (101, " ".join(a[4:] + b[4:])), (102, None), (103, "new words only")]
+    docs = spark.createDataFrame(rows + rows[-4:], "doc_id long, text string")
+    learn = ~F.col("doc_id").between(100, 199)
+    got = class_lm.score(docs, learn, ~learn).collect()
+    assert len(got) == len(rows) + 4
+    got = {r.doc_id: r.score for r in got}
+    assert got[100] > got[101] + 20
+
+
+def test_a_word_beyond_the_table_goes_to_its_best_class():
+    rng = np.random.default_rng(1)
+    for case in range(100):
+        classes, total = 4, 9
+        seq, word = rng.integers(0, total, 80), rng.random(80) < 0.12
+        seq = np.where(np.arange(80) % 3 == 0, seq % 2, seq) if case % 2 else seq
+        word[[0, 1, -1]] = False, True, False
+        own = int(rng.integers(classes, total))
+
+        def joint(of):
+            out = np.zeros((total, total))
+            units = np.where(word, of, seq)
+            np.add.at(out, (units[:-1], units[1:]), 1)
+            return out, units
+
+        counted, units = joint(own)
+        at = np.flatnonzero(word)
+        got = class_lm.move_rest(counted, np.array([own]), np.zeros(len(at), np.int64), units[at - 1], units[at + 1], word[at + 1].astype(np.uint8), classes, 1)[0]
+        reached = {k: class_lm.likelihood(joint(k)[0]) for k in (*range(classes), own)}
+        assert reached[int(got)] > max(reached.values()) - 1e-6
+
+
 def test_hashes_that_collide_change_nothing(spark, odd_rows, monkeypatch):
     """All strings have one hash: the bytes alone tell what is equal."""
     whole = suffix_dedup.stretches
