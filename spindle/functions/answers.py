@@ -24,14 +24,18 @@ def strip(x: Column | str) -> Column:
     return F.trim(_c(x), F.lit(" \t\n\r\x0b\x0c"))
 
 
-def answer_tokens(text: Column | str) -> Column:
-    """Lower case, no ASCII punctuation, no articles, split on white space."""
-    bare = F.translate(F.lower(F.coalesce(_c(text), F.lit(""))), _PUNCT, "")
-    return F.filter(F.split(bare, r"(?U)\s+"), lambda t: (t != "") & ~t.isin("a", "an", "the"))
+def answer_tokens(text: Column | str, plain: bool = False) -> Column:
+    """Lower case, no ASCII punctuation, no articles, split on white space.
+
+    ``plain``: letter by letter (no final sigma, no letter becomes two), and split on ASCII white space without the vertical tab, as RE2 has it.
+    """
+    given = F.coalesce(_c(text), F.lit(""))
+    bare = F.translate(F.lower(F.translate(given, "\u03a3\u0130", "\u03c3i") if plain else given), _PUNCT, "")
+    return F.filter(F.split(bare, r"[\t\n\f\r ]+" if plain else r"(?U)\s+"), lambda t: (t != "") & ~t.isin("a", "an", "the"))
 
 
-def normalize_answer(text: Column | str) -> Column:
-    return F.array_join(answer_tokens(text), " ")
+def normalize_answer(text: Column | str, plain: bool = False) -> Column:
+    return F.array_join(answer_tokens(text, plain), " ")
 
 
 def normalize_answer_by_word(text: Column | str) -> Column:
@@ -40,9 +44,9 @@ def normalize_answer_by_word(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), r"(?U)\s+", " "))
 
 
-def exact_match(prediction: Column | str, golds: Column | str, guard_empty: bool = True) -> Column:
-    """Any gold equals the prediction; an empty prediction matches nothing if guarded."""
-    hit = F.exists(_c(golds), lambda g: normalize_answer(g) == normalize_answer(prediction))
+def exact_match(prediction: Column | str, golds: Column | str, guard_empty: bool = True, plain: bool = False) -> Column:
+    """Any gold equals the prediction; an empty prediction matches nothing if guarded.  ``plain``: as in ``answer_tokens``."""
+    hit = F.exists(_c(golds), lambda g: normalize_answer(g, plain) == normalize_answer(prediction, plain))
     return F.when(F.coalesce(_c(prediction), F.lit("")) == "", F.lit(False)).otherwise(hit) if guard_empty else hit
 
 
@@ -66,8 +70,8 @@ def token_f1(prediction: Column | str, golds: Column | str) -> Column:
     return F.coalesce(F.array_max(F.transform(_c(golds), one)), F.lit(0.0))
 
 
-def contains_answer(prediction: Column | str, golds: Column | str) -> Column:
-    return F.exists(_c(golds), lambda g: F.contains(normalize_answer(prediction), normalize_answer(g)))
+def contains_answer(prediction: Column | str, golds: Column | str, plain: bool = False) -> Column:
+    return F.exists(_c(golds), lambda g: F.contains(normalize_answer(prediction, plain), normalize_answer(g, plain)))
 
 
 def last_answer(text: Column | str) -> Column:

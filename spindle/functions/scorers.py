@@ -38,23 +38,30 @@ def number_score(text: Column | str, truth: Column | str, strict: bool = True, f
     return F.when(found.isNull(), 0.0).when(found == _c(truth), score).otherwise(format_score)
 
 
+def _blocks(text: Column | str) -> Column:
+    return F.regexp_extract_all(_s(text), F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1))
+
+
 def tagged_answer(text: Column | str) -> Column:
     """The last <answer> block, trimmed; null without one."""
-    return strip(_last(F.regexp_extract_all(_s(text), F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1))))
+    return strip(_last(_blocks(text)))
 
 
 def _count(text: Column | str, tag: str) -> Column:
     return F.size(F.split(_s(text), tag)) - 1
 
 
-def tagged_score(text: Column | str, golds: Column | str, substring: bool = False, format_score: float = 0.0, score: float = 1.0) -> Column:
-    """Exact match of the last block; a quarter if the text has over ten opening or closing tags.  ``substring``: a gold within the block is enough."""
-    answer = tagged_answer(text)
+def tagged_score(text: Column | str, golds: Column | str, substring: bool = False, format_score: float = 0.0, score: float = 1.0, plain: bool = False) -> Column:
+    """Exact match of the last block; a quarter if the text has over ten opening or closing tags.  ``substring``: a gold within the block is enough.
+
+    ``plain``: blocks are counted, not tags, and words are compared as ``answer_tokens`` has them then.
+    """
+    answer = _last(_blocks(text)) if plain else tagged_answer(text)
     if substring:
-        hit, won = contains_answer(answer, golds), F.lit(score)
+        hit, won = contains_answer(answer, golds, plain), F.lit(score)
     else:
-        many = (_count(text, "<answer>") > 10) | (_count(text, "</answer>") > 10)
-        hit, won = exact_match(answer, golds, guard_empty=False), F.when(many, score / 4).otherwise(score)
+        many = F.size(_blocks(text)) > 10 if plain else (_count(text, "<answer>") > 10) | (_count(text, "</answer>") > 10)
+        hit, won = exact_match(answer, golds, guard_empty=False, plain=plain), F.when(many, score / 4).otherwise(score)
     return F.when(answer.isNull(), 0.0).when(hit, won).otherwise(format_score)
 
 
